@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import decontamination, mixing, sharding
+from lattice.llm import decontamination, language, mixing, sharding, simhash
 from lattice.sources import read_table
 
 
@@ -19,6 +19,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = language.predict(docs.select("doc_id", "text"), language.learn(docs))
+    return judged.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -28,8 +34,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op4_language": op4_language,
     "op5_mixing": op5_mixing,
     "op8_sharding": op8_sharding,
+    "op9_simhash": op9_simhash,
 }
