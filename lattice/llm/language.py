@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 4096
 SEGMENT = 4096
@@ -93,7 +94,7 @@ def predict(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
             more = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score", "margin", "rejected"])
 
-    schema = docs.schema
+    schema = T.StructType(docs.schema.fields[:])
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("margin", "long"), ("rejected", "boolean")):
         schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
