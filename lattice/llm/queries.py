@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import decontamination, language, mixing, sharding, simhash
+from lattice.llm import decontamination, language, minhash, mixing, sharding, simhash
 from lattice.sources import read_table
 
 
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_language": op4_language,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
 }
