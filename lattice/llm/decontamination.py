@@ -27,6 +27,9 @@ WINDOW = 13
 RAREST = 2
 #: A document is contaminated if its hit words times this reach its words.
 SHARE = 20
+#: Slots of the table that says which documents have candidates.
+MARKS = 1 << 18
+MATCHES = "array<struct<start:int,item_id:string,n:int>>"
 
 
 def words_of(text: Column) -> Column:
@@ -77,17 +80,22 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -
     windows = written(test_windows(benchmark, width), "test")
     index = build_index(docs, windows.select(F.explode("words").alias("term")))
     places = candidates(index, windows)
-    by_doc = written(
-        places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "item_id", "words")).alias("places")), "places"
-    ).withColumnRenamed("doc_id", "of").withColumnRenamed("text_key", "of_text")
-    sizes = by_doc.agg(F.coalesce(F.sum(64 + 200 * F.size("places")), F.lit(0)).alias("bytes")).first()["bytes"]
-    by_doc = F.broadcast(by_doc) if sizes <= 32 << 20 else by_doc
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    joined = packed.join(by_doc, F.col("id").eqNullSafe(F.col("of")) & (text_key(F.col("body")) == F.col("of_text")), "left")
+    by_doc = written(places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "item_id", "words")).alias("places")), "places")
+    by_doc = by_doc.withColumnRenamed("doc_id", "of").withColumnRenamed("text_key", "of_text")
+    # Only documents whose slot holds a candidate are shuffled.  There are MARKS slots whatever the data, so they can be broadcast.
+    marks = F.broadcast(by_doc.select(_mark(F.col("of"), F.col("of_text")).alias("mark")).distinct())
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"), F.col("text").alias("body"))
+    packed = packed.withColumn("mark", _mark(F.col("id"), F.col("key")))
+    clear = packed.join(marks, "mark", "left_anti").select("row", F.size(words_of(F.col("body"))).cast("long").alias("n_words"), F.array().cast(MATCHES).alias("matches"))
+    joined = packed.join(marks, "mark", "left_semi").join(by_doc.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_text")), "left")
     joined = joined.select("row", words_of(F.col("body")).alias("tokens"), "places")
     same = F.filter("places", lambda x: F.slice("tokens", x["start"] + 1, F.size(x["words"])) == x["words"])
     exact = F.when(F.col("places").isNotNull(), F.transform(same, lambda x: F.struct(x["start"].alias("start"), x["item_id"].alias("item_id"), F.size(x["words"]).alias("n"))))
-    return joined.select("row", F.size("tokens").cast("long").alias("n_words"), F.array_sort(F.array_distinct(F.coalesce(exact, F.array()))).alias("matches"))
+    return clear.unionByName(joined.select("row", F.size("tokens").cast("long").alias("n_words"), F.array_sort(F.array_distinct(F.coalesce(exact, F.array()))).cast(MATCHES).alias("matches")))
+
+
+def _mark(doc_id: Column, key: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, key), F.lit(MARKS)).cast("int")
 
 
 def covered(matches: Column) -> Column:
