@@ -44,4 +44,16 @@ owner AS (SELECT slot::INTEGER AS slot, names[(step - 1) % 32 + 1] AS shard FROM
 SELECT doc_id, slot, shard FROM (SELECT doc_id, (('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT % 4099)::INTEGER AS slot FROM documents) JOIN owner USING (slot)
 """
 
-ORACLES = {"op1_decontamination": OP1, "op5_mixing": OP5, "op8_sharding": OP8}
+OP10 = """
+WITH l AS (SELECT doc_id, i, l, ('0x' || md5(l)[1:7])::BIGINT AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE length(text) > 0)),
+r AS (SELECT *, i = max(i) OVER (PARTITION BY doc_id) OR (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 1000003) % 2147483647 % 4 = 0 AS ends FROM l),
+n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r),
+chunk AS (SELECT doc_id, c, count(*) AS m, min(i) AS first, string_agg(l, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, c),
+ranked AS (SELECT doc_id, c, m, m >= 2 AND row_number() OVER (PARTITION BY body, m >= 2 ORDER BY doc_id, first) > 1 AS gone FROM chunk),
+kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS t FROM n JOIN ranked USING (doc_id, c) WHERE NOT gone GROUP BY doc_id),
+s AS (SELECT doc_id, sum(m)::BIGINT AS n_lines, count(*) FILTER (gone) AS n_chunks, coalesce(sum(m) FILTER (gone), 0)::BIGINT AS n_removed FROM ranked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op5_mixing": OP5, "op8_sharding": OP8, "op10_line_dedup": OP10}

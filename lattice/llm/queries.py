@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import decontamination, language, minhash, mixing, pii, sharding, simhash
+from lattice.llm import decontamination, language, lines, minhash, mixing, paragraphs, pii, sharding, simhash, substrings
 from lattice.sources import read_table
 
 
@@ -28,6 +28,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = language.predict(docs.select("doc_id", "text"), language.learn(docs))
@@ -43,6 +47,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -52,12 +61,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = F.aggregate("removed", F.lit(0), lambda a, x: a + x["n"]).cast("long")
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_chunks"), count.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language": op4_language,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
+    "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
