@@ -1,0 +1 @@
+"""No streaming operators: the array work covered here has task events (plans.scheduler), not data streams."""
