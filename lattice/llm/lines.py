@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm._shared import md5_number, written
+from lattice.llm._shared import md5_number, release, written
 from lattice.llm.paragraphs import _rows, lines_of, without
 
 REACH, SPREAD, LEAST_LINES = 2, 4, 2
@@ -66,6 +66,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     repeats = chunks.join(again, "hash", "left_semi").withColumn("o", F.coalesce("doc_id", F.lit(NO_ID)))
     gone = repeats.join(keepers, (F.col("o") == F.col("ord")) & (F.col("key") == F.col("keeper")) & (F.col("first") == F.col("at")), "left_anti")
     by_doc = written(gone.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("removed")), "gone")
+    release(docs.sparkSession)
     joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     joined = joined.select("doc_id", lines_of(F.col("text")).alias("lines"), F.coalesce("removed", F.array().cast("array<struct<first:int,n:int>>")).alias("removed"))
     return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "removed", F.array_join(without(F.col("lines"), F.col("removed")), "\n").alias("kept"))

@@ -192,6 +192,7 @@ def cluster(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     members = written(_crowded(banded), "members").withColumn("root", F.col("id"))
     release(spark)
     bodies = written(texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "text"), "bodies")
+    release(spark)
     links, hubs = None, 2
     while not members.isEmpty():
         ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
@@ -209,6 +210,7 @@ def cluster(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     else:
         nodes = nodes.withColumn("component", F.lit(None).cast("long"))
     nodes = nodes.select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    release(spark)
     whole = written(signed.select("id", "k1", "k2").join(nodes, ["k1", "k2"]).select("id", "component"), "whole")
     several = whole.groupBy("component").count().where("count > 1").select("component")
     return whole.join(several, "component", "left_semi").select("id", "component")

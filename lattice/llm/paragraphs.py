@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattice.llm import minhash
-from lattice.llm._shared import SPACED_WORD, written
+from lattice.llm._shared import SPACED_WORD, release, written
 
 LEAST_WORDS = 20
 
@@ -43,6 +43,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         gone.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key"))
         .agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set(F.nullif("first.ord", F.lit(2**63 - 1)))).alias("kept_in")), "gone"
     )
+    release(docs.sparkSession)
     joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     joined = joined.select("doc_id", lines_of(F.col("text")).alias("lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
     return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "removed", "kept_in", F.array_join(without(F.col("lines"), F.transform("removed", lambda x: F.struct(x.alias("first"), F.lit(1).alias("n")))), "\n").alias("kept"))
