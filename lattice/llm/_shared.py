@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,11 +38,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of plans that are no longer referenced."""
-    import gc
+    """Let Spark's context cleaner drop the shuffle files of plans that are no longer referenced.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    A finished query is still held by listener events for a moment, so this asks twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)
 
 
 def buckets(spark: SparkSession) -> int:

@@ -74,7 +74,7 @@ def _bucket(names: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pack(*arrays: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps([a if isinstance(a, bytes) else np.ascontiguousarray(a) for a in arrays]))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps([a if isinstance(a, bytes) else np.ascontiguousarray(a) for a in arrays]))
 
 
 def _unpack(blob: bytes) -> list:
