@@ -235,6 +235,17 @@ def calibrate(score: np.ndarray, y: np.ndarray, kind: np.ndarray) -> list[float]
     return out
 
 
+_fitted: tuple[list[Tree], list[float]] | None = None
+
+
+def model(spark: SparkSession) -> tuple[list[Tree], list[float]]:
+    """The fitted trees and thresholds; the examples are always the same, so a process fits them once."""
+    global _fitted
+    if _fitted is None:
+        _fitted = train(spark)
+    return _fitted
+
+
 def train(spark: SparkSession) -> tuple[list[Tree], list[float]]:
     """Trees and thresholds by kind."""
     made = examples()
@@ -259,7 +270,7 @@ def score_sql(trees: list[Tree], f: str) -> str:
 
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with base and spans: arrays of (start, kind, end), kinds by their number in KINDS."""
-    trees, least = train(docs.sparkSession)
+    trees, least = model(docs.sparkSession)
     levels = F.array(*[F.lit(min(t, 1e9)) for t in least])
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])

