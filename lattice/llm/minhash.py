@@ -16,7 +16,7 @@ the first (one row: by itself); an empty table gives an empty result; further co
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +34,10 @@ SHINGLE, SLOTS, SIMILAR = 5, 64, 0.8
 BANDS = 16
 #: Shingles hashed at once, and different words remembered by a worker.
 STEP, WORDS = 2048, 1 << 19
-#: Hubs with which the members of a bucket are compared in a round.
-HUBS = 16
+#: Characters of texts hashed together.
+BLOCK = 1 << 17
+#: Hubs with which the members of a bucket are compared in the first round, and the growth of their number from round to round.
+HUBS, GROWTH = 2, 2
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(0, 2**63, SLOTS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SLOTS, np.uint64)
@@ -54,19 +56,35 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of a text's shingles, repeats included."""
-    words = (text or "").encode().lower().split()
+def shingled(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, one text after the other, repeats included; and how many each text has."""
+    words: list[int] = []
+    sizes = []
+    for text in texts:
+        own = (text or "").encode().lower().split()
+        words.extend(map(_hashes.__getitem__, own))
+        if 0 < len(own) < SHINGLE:
+            words.extend([0] * (SHINGLE - len(own)))
+        sizes.append(max(1, len(own) - SHINGLE + 1) if own else 0)
+    counts = np.array(sizes, np.int64)
     if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - SHINGLE + 1)
-    x = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(words))):
-        x += h[k : k + n] * _MIX[k]
+        return np.zeros(0, np.uint64), counts
+    h = np.fromiter(words, np.uint64, len(words))
+    x = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        x += h[k : k + len(x)] * _MIX[k]
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    if len(counts) > 1:  # without the stretches across two texts
+        filled = counts[counts > 0]
+        x = x[np.arange(filled.sum()) + np.repeat(np.arange(len(filled)) * (SHINGLE - 1), filled)]
+    return x, counts
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included."""
+    return shingled([text])[0]
 
 
 def signature(text: str | None) -> np.ndarray:
@@ -80,6 +98,32 @@ def signature(text: str | None) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def signatures(texts: Iterable[str | None]) -> np.ndarray:
+    """A row for each text, as ``signature`` has it; about ``BLOCK`` characters go through the slots together."""
+    out = [np.zeros((0, SLOTS), np.uint32)]
+    held: list[str | None] = []
+
+    def flush() -> None:
+        x, sizes = shingled(held)
+        rows = np.tile(_EMPTY, (len(held), 1))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            starts = (np.cumsum(sizes) - sizes)[full]
+            for k in range(SLOTS):
+                rows[full, k] = np.minimum.reduceat(x * _A[k] + _B[k], starts) >> np.uint64(32)
+        out.append(rows)
+
+    n = 0
+    for text in texts:
+        held.append(text)
+        n += len(text or "")
+        if n >= BLOCK:
+            flush()
+            held, n = [], 0
+    flush()
+    return np.concatenate(out)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
@@ -153,14 +197,12 @@ def _signed(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                keys.append(np.frombuffer(xxhash.xxh3_128_digest(text.encode()), "<i8"))
-                sig = signature(text).reshape(BANDS, rows_per_band)
-                bands.append([xxhash.xxh64_intdigest(s.tobytes()) >> 1 for s in sig])
-            both = np.array(keys, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["id", "k1", "k2", "bands"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8").reshape(-1, 2)
+            whole, width = signatures(texts).tobytes(), 4 * rows_per_band
+            bands = pa.array([xxhash.xxh64_intdigest(whole[k : k + width]) >> 1 for k in range(0, len(whole), width)], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], ["id", "k1", "k2", "bands"])
 
     return texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string")).mapInArrow(run, "id long, k1 long, k2 long, bands array<long>")
 
@@ -182,7 +224,7 @@ def cluster(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(id, component) of the rows of ``texts`` (id, text; ids are unique) that have an equal or a similar one.
 
     Equal texts are one node.  Of each bucket, the first few members are compared with the later ones that aren't linked to them
-    yet, and are then done with; the number doubles with each round, and what is left of a bucket goes on until it is linked.
+    yet, and are then done with; the number grows with each round, and what is left of a bucket goes on until it is linked.
     """
     spark = texts.sparkSession
     signed = written(_signed(texts), "signed")
@@ -193,7 +235,7 @@ def cluster(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     release(spark)
     bodies = written(texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "text"), "bodies")
     release(spark)
-    links, hubs = None, 2
+    links, hubs = None, HUBS
     while not members.isEmpty():
         ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
         first = ranked.where(F.col("rank") <= hubs).select("bucket", F.col("id").alias("a"), F.col("root").alias("a_root"))
@@ -203,7 +245,7 @@ def cluster(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
         roots = written(components(links), "roots")
         left = ranked.where(F.col("rank") > hubs).select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("root"))
         mixed = left.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        members, hubs = written(left.join(mixed, "bucket", "left_semi"), "members"), 2 * hubs
+        members, hubs = written(left.join(mixed, "bucket", "left_semi"), "members"), GROWTH * hubs
         release(spark)
     if links is not None:
         nodes = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left")

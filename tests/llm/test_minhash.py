@@ -88,3 +88,11 @@ def test_crowded_buckets_across_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + step]], pa.int64()) for c in range(2)], ["bucket", "id"]) for i in range(0, len(rows), step)]
         got = [(r["bucket"], r["id"]) for b in run(iter(batches)) for r in b.to_pylist()]
         assert got == [r for r in rows if sum(x[0] == r[0] for x in rows) > 1]
+
+
+def test_signatures_of_many_texts():
+    texts = ["", None, " ", "a", "a b c", "x " * 3000, "q w e r t y", "é É A", *(" ".join(f"w{i * k % 97}" for i in range(40)) for k in range(300)), "z " * (minhash.BLOCK + 9)]
+    assert (minhash.signatures(texts) == [minhash.signature(t) for t in texts]).all()
+    assert minhash.signatures([]).shape == (0, minhash.SLOTS)
+    x, sizes = minhash.shingled(texts)
+    assert len(x) == sizes.sum() and sizes[:5].tolist() == [0, 0, 0, 1, 1]
