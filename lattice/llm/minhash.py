@@ -37,7 +37,7 @@ STEP, WORDS = 2048, 1 << 19
 #: Characters of texts hashed together.
 BLOCK = 1 << 17
 #: Hubs with which the members of a bucket are compared in the first round, and the growth of their number from round to round.
-HUBS, GROWTH = 2, 2
+HUBS, GROWTH = 2, 4
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(0, 2**63, SLOTS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SLOTS, np.uint64)
