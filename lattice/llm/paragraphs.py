@@ -1,9 +1,14 @@
-"""Substring dedup by paragraph MinHash banding.
+"""Substring dedup by paragraph MinHash banding, and by passages in what that leaves.
 
-A paragraph is a line with at least ``LEAST_WORDS`` words; shorter lines are headings, licence lines and the like, and always stay.
+A paragraph is a line with at least ``LEAST_WORDS`` words; a shorter line is no paragraph, as headings and licence lines repeat.
 Paragraphs that collide in a band are compared by exact Jaccard similarity of their five-word shingles (minhash.cluster), and of each
 component the first paragraph in order of (doc_id, line) stays.
 
+Passages are found whatever the lines: in the words that are left of a document, the least shingle hash of any ``REACH`` in a row is an
+anchor, and the ``UNIT`` words from an anchor on are a unit.  Texts with UNIT + REACH - 1 words in common have a unit in common.  Of equal
+units (128 bits stand for the words) the first in order of (doc_id, word) stays; the words of the others are cut, the white space
+around them stays.  Units of one document that overlap the first take nothing from each other.
+
 Defined cases: null text is empty and has no lines; a null doc_id comes last in that order; rows that repeat doc_id and text are one
 document and share their result; rows that share only the doc_id are told apart by their texts; an empty table gives an empty result;
 further columns are ignored.
@@ -11,13 +16,22 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattice.llm import minhash
-from lattice.llm._shared import SPACED_WORD, release, written
+from lattice.llm._shared import SPACED_WORD, release, small, written
 
 LEAST_WORDS = 20
+#: Words of a unit, a multiple of minhash.SHINGLE; positions in a row of which one is an anchor.
+UNIT, REACH = 40, 10
+NO_ID = 2**63 - 1
+_MIX = np.random.default_rng(7).integers(0, 2**63, (2, UNIT // minhash.SHINGLE), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def lines_of(text: Column) -> Column:
@@ -29,24 +43,116 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_lines, n_paragraphs, removed (line numbers), kept_in (doc_ids that keep them), kept (text)."""
+def _without_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n_lines, removed, kept_in, text) of each document: what is left without repeated paragraphs."""
     rows = _rows(docs)
     lines = rows.select("doc_id", "key", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
     paragraphs = written(lines.where(F.regexp_count("text", F.lit(SPACED_WORD)) >= LEAST_WORDS).withColumn("id", F.monotonically_increasing_id()), "paragraphs")
     grouped = minhash.cluster(paragraphs.select("id", "text"))
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), "key", "line")
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "key", "line")
     placed = written(paragraphs.select("id", "doc_id", "key", "line", place.alias("place")).join(grouped, "id"), "placed")
     first = placed.groupBy("component").agg(F.min("place").alias("first"))
     gone = placed.join(first, "component").where(F.col("place") != F.col("first"))
     by_doc = written(
         gone.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key"))
-        .agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set(F.nullif("first.ord", F.lit(2**63 - 1)))).alias("kept_in")), "gone"
+        .agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set(F.nullif("first.ord", F.lit(NO_ID)))).alias("kept_in")), "gone"
     )
     release(docs.sparkSession)
     joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
-    joined = joined.select("doc_id", lines_of(F.col("text")).alias("lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
-    return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "removed", "kept_in", F.array_join(without(F.col("lines"), F.transform("removed", lambda x: F.struct(x.alias("first"), F.lit(1).alias("n")))), "\n").alias("kept"))
+    joined = joined.select("doc_id", "key", lines_of(F.col("text")).alias("lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
+    return joined.select("doc_id", "key", F.size("lines").cast("long").alias("n_lines"), "removed", "kept_in", F.array_join(without(F.col("lines"), F.transform("removed", lambda x: F.struct(x.alias("first"), F.lit(1).alias("n")))), "\n").alias("text"))
+
+
+def _slid(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """``pick`` over each REACH values in a row."""
+    n, reach = len(x) - REACH + 1, 1
+    while 2 * reach <= REACH:
+        x = pick(x[: len(x) - reach], x[reach:])
+        reach *= 2
+    return pick(x[:n], x[REACH - reach : REACH - reach + n])
+
+
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each unit, the 128 bits that stand for it) of a text with the shingle hashes ``x``."""
+    n = len(x) - UNIT + minhash.SHINGLE  # positions where a unit can start
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+    least = _slid(x, np.minimum)
+    around = _slid(np.r_[np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)], np.maximum)
+    at = np.flatnonzero(x[:n] == around[:n])
+    parts = x[at[None, :] + np.arange(0, UNIT, minhash.SHINGLE)[:, None]]
+    bits = np.stack([((parts ^ (parts >> np.uint64(32))) * m[:, None]).sum(axis=0, dtype=np.uint64) for m in _MIX])
+    bits ^= bits >> np.uint64(31)
+    return at, bits.view(np.int64)
+
+
+def _units(left: DataFrame) -> DataFrame:
+    """(ord, key, at, k1, k2) of the units of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ords, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k, text in enumerate(batch.column(2)):
+                at, bits = units(minhash.shingles(text.as_py()))
+                if len(at):
+                    columns = np.full(len(at), ords[k]), np.full(len(at), keys[k]), at.astype(np.int32), *bits
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ord", "key", "at", "k1", "k2"])
+
+    return left.select(F.coalesce("doc_id", F.lit(NO_ID)), "key", "text").mapInArrow(run, "ord long, key long, at int, k1 long, k2 long")
+
+
+def _passages(left: DataFrame) -> DataFrame:
+    """(of, of_key, ats, keepers): first words of the units to be cut from each document, and the doc_ids that have them first."""
+    found = written(_units(left), "units")
+    again = written(found.groupBy("k1").count().where("count > 1").select("k1"), "again")
+    several = written(found.join(small(again, 16), "k1", "left_semi"), "several")
+    first = written(several.groupBy("k1", "k2").agg(F.min(F.struct("ord", "key", "at")).alias("first")), "firsts")
+    placed = several.join(small(first, 64), ["k1", "k2"])
+    gone = placed.where((F.col("ord") != F.col("first.ord")) | (F.col("key") != F.col("first.key")) | (F.col("at") >= F.col("first.at") + UNIT))
+    by_doc = gone.groupBy(F.col("ord").alias("of"), F.col("key").alias("of_key"))
+    return written(by_doc.agg(F.sort_array(F.collect_set("at")).alias("ats"), F.collect_set(F.nullif("first.ord", F.lit(NO_ID))).alias("keepers")), "passages")
+
+
+def stretches(ats: list[int]) -> list[tuple[int, int]]:
+    """(first word, words) of what the units at ``ats``, in order, cover."""
+    out: list[tuple[int, int]] = []
+    for a in ats:
+        if out and a <= sum(out[-1]):
+            out[-1] = out[-1][0], a + UNIT - out[-1][0]
+        else:
+            out.append((a, UNIT))
+    return out
+
+
+def cut_words(text: str, gaps: list[tuple[int, int]]) -> str:
+    """``text`` without the words in ``gaps`` (first, n) and the white space between them."""
+    data = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    edges = [0, *[x for a, n in gaps for x in (spans[a][0], spans[a + n - 1][1])], len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_lines, removed (line numbers), kept_in (doc_ids that keep what goes), cut, kept (text).
+
+    ``cut`` has the stretches (first, n) of words that go from what is left without the removed lines.
+    """
+    left = written(_without_lines(docs), "left")
+    release(docs.sparkSession)
+    passages = _passages(left)
+    release(docs.sparkSession)
+    joined = left.join(passages, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    joined = joined.select("doc_id", "n_lines", "removed", F.array_sort(F.array_union("kept_in", F.coalesce("keepers", F.array().cast("array<long>")))).alias("kept_in"), "ats", "text")
+    pair = pa.struct([("first", pa.int32()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gaps = [stretches(a or []) for a in batch.column(4).to_pylist()]
+            kept = [cut_words(t, g) if g else t for t, g in zip(batch.column(5).to_pylist(), gaps, strict=True)]
+            cut = pa.array([[{"first": a, "n": n} for a, n in g] for g in gaps], pa.list_(pair))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], cut, pa.array(kept, pa.string())], ["doc_id", "n_lines", "removed", "kept_in", "cut", "kept"])
+
+    return joined.mapInArrow(run, "doc_id long, n_lines long, removed array<int>, kept_in array<long>, cut array<struct<first:int,n:int>>, kept string")
 
 
 def without(lines: Column, gaps: Column) -> Column:

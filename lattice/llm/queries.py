@@ -49,7 +49,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraphs.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", F.sha2("kept", 256).alias("kept_sha256"))
+    n_cut = F.aggregate("cut", F.lit(0), lambda a, x: a + x["n"]).cast("long")
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", n_cut.alias("n_cut"), "cut", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
