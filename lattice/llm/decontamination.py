@@ -41,11 +41,11 @@ def text_key(text: Column) -> Column:
 
 
 def test_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(item_id, first, words): the windows of every item."""
+    """(item_id, first, words): the different windows of every item; rows of one item_id may have several at one ``first``."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("all"))
     items = items.where(F.size("all") > 0)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - width, F.lit(0))))
-    return items.select("item_id", "all", starts.alias("first")).select("item_id", "first", F.slice("all", F.col("first") + 1, width).alias("words"))
+    return items.select("item_id", "all", starts.alias("first")).select("item_id", "first", F.slice("all", F.col("first") + 1, width).alias("words")).distinct()
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -59,9 +59,9 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFra
 def _rarest(index: DataFrame, windows: DataFrame, rarest: int) -> DataFrame:
     """``windows`` that can occur, with ``probe``: the offsets (in the item) of their rarest terms."""
     counts = index.groupBy("term").count()
-    terms = windows.select("item_id", "first", F.posexplode("words").alias("offset", "term")).join(counts, "term")
-    by_window = terms.groupBy("item_id", "first").agg(F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("ranked"))
-    joined = windows.join(by_window, ["item_id", "first"]).where(F.size("ranked") == F.size("words"))  # a term the corpus lacks rules a window out
+    terms = windows.select("item_id", "first", "words", F.posexplode("words").alias("offset", "term")).join(counts, "term")
+    by_window = terms.groupBy("item_id", "first", "words").agg(F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("ranked"))
+    joined = by_window.where(F.size("ranked") == F.size("words"))  # a term the corpus lacks rules a window out
     return joined.select("item_id", "first", "words", F.transform(F.slice("ranked", 1, rarest), lambda x: F.struct((x["offset"] + F.col("first")).alias("at"), x["term"].alias("term"))).alias("probe"))
 
 
@@ -124,12 +124,12 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, span: int = 2 * WINDOW,
     """
     windows = written(test_windows(benchmark, width), "near")
     index = build_index(docs, windows.select(F.explode("words").alias("term")))
-    ranked = _rarest(index, windows, 1).select("item_id", "first", F.array_distinct("words").alias("words"), F.col("probe")[0]["term"].alias("rare"))
+    ranked = _rarest(index, windows, 1).select("item_id", "first", F.array_distinct("words").alias("words"), F.col("probe")[0]["term"].alias("rare")).distinct()
     half = max(1, span // 2)
     blocks = index.select("doc_id", "text_key", "term", F.explode(F.array(F.expr(f"pos div {half}"), F.expr(f"pos div {half} - 1"))).alias("block")).distinct()
-    seeds = blocks.join(small(ranked.select("item_id", "first", F.col("rare").alias("term")), 96), "term").select("doc_id", "text_key", "block", "item_id", "first")
-    wanted = seeds.join(ranked.select("item_id", "first", F.size("words").alias("n"), F.explode("words").alias("term")), ["item_id", "first"])
-    met = wanted.join(blocks, ["doc_id", "text_key", "block", "term"]).groupBy("doc_id", "text_key", "block", "item_id", "first", "n").count()
-    return met.where(F.col("count") == F.col("n")).select("doc_id", "item_id", "first", "block").distinct()
+    seeds = blocks.join(small(ranked.select("item_id", "first", "words", F.col("rare").alias("term")), 256), "term").select("doc_id", "text_key", "block", "item_id", "first", "words")
+    wanted = seeds.select("*", F.explode("words").alias("term"))
+    met = wanted.join(blocks, ["doc_id", "text_key", "block", "term"]).groupBy("doc_id", "text_key", "block", "item_id", "first", "words").count()
+    return met.where(F.col("count") == F.size("words")).select("doc_id", "item_id", "first", "block").distinct()
 
 

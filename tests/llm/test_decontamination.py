@@ -43,3 +43,15 @@ def test_near_matches(spark):
 def test_stored_index_has_all_postings(spark):
     docs = spark.createDataFrame([(1, "b a b"), (2, None)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["pos"], r["term"]) for r in dec.build_index(docs).collect()) == [(1, 0, "b"), (1, 1, "a"), (1, 2, "b")]
+
+
+def test_rows_that_share_an_item_id(spark):
+    one, other = (" ".join(f"{c}{k}" for k in range(13)) for c in "ab")
+    items = [(1, one), (1, one), (2, one), (2, other), (3, one + " " + other), (3, other + " " + one)]
+    texts = ["x " + one + " y", "x y " + other, one + " " + other, "x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for some in (items[:2], items[2:4], items[4:], items):
+        got = sorted((r["row"]["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in dec.judge(docs, spark.createDataFrame(some, "item_id long, text string")).collect())
+        assert got == [(k, *w) for k, w in enumerate(brute.decontaminate(texts, some))]
+    near = dec.near_matches(docs, spark.createDataFrame(items[:4], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in near.collect()} == {(0, "1"), (0, "2"), (1, "2"), (2, "1"), (2, "2")}
