@@ -113,16 +113,33 @@ def ordinals(devices: DataFrame) -> DataFrame:
 
 def roots(devices: DataFrame) -> DataFrame:
     """(device_id, root_id, depth): parents are followed until there is none."""
-    devices.createOrReplaceTempView("lattice_devices")
     return devices.sparkSession.sql(
         """WITH RECURSIVE up(device_id, at, depth) AS (
-             SELECT device_id, device_id, 0 FROM lattice_devices
+             SELECT device_id, device_id, 0 FROM {devices}
              UNION ALL
-             SELECT up.device_id, d.parent_id, up.depth + 1 FROM up JOIN lattice_devices d ON d.device_id = up.at WHERE d.parent_id IS NOT NULL)
-           SELECT device_id, max_by(at, depth) AS root_id, max(depth) AS depth FROM up GROUP BY device_id"""
+             SELECT up.device_id, d.parent_id, up.depth + 1 FROM up JOIN {devices} d ON d.device_id = up.at WHERE d.parent_id IS NOT NULL)
+           SELECT device_id, max_by(at, depth) AS root_id, max(depth) AS depth FROM up GROUP BY device_id""",
+        devices=devices,
     )
 
 
+def device_numbers(devices: DataFrame) -> DataFrame:
+    """(device_id, number): a device's position among the listed ones without a parent; a sub-device has its root's."""
+    listed = devices.where("score >= 0 AND parent_id IS NULL").select(F.col("device_id").alias("root_id"), (F.row_number().over(Window.orderBy("enum_order")) - 1).cast("bigint").alias("number"))
+    return roots(devices).join(listed, "root_id").select("device_id", "number")
+
+
+def composites(devices: DataFrame) -> DataFrame:
+    """(device_id, component_ids): the devices that others are parts of, with their direct parts in order."""
+    parts = devices.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("device_id"))
+    return parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("enum_order", "device_id"))), lambda x: x["device_id"]).alias("component_ids"))
+
+
+def has_aspect(devices: DataFrame, aspect: str) -> DataFrame:
+    """(device_id, has)."""
+    return devices.select("device_id", F.array_contains("aspects", aspect).alias("has"))
+
+
 def sub_devices(devices: DataFrame, parent: int) -> DataFrame:
     return devices.where(F.col("parent_id") == parent).orderBy("enum_order")
 
@@ -166,11 +183,12 @@ def partition_equally(devices: DataFrame, count: int) -> DataFrame:
 
 
 def partition_by_counts(devices: DataFrame, counts: Sequence[int]) -> DataFrame:
-    """One sub-device for each count; zeros are rejected."""
+    """One sub-device for each count; zeros are rejected.  A device with fewer units in all has one row with nulls, as it can't be cut."""
     if not counts or any(c <= 0 for c in counts):
         raise ValueError("counts must be positive")
-    fits = devices.where(F.col("compute_units") >= sum(counts))
-    return fits.select("device_id", F.posexplode(F.array(*[F.lit(int(c)) for c in counts])).alias("sub", "compute_units"))
+    fits = F.col("compute_units") >= sum(counts)
+    devices = devices.select("device_id", F.when(fits, F.array(*[F.lit(int(c)) for c in counts])).alias("cut"))
+    return devices.select("device_id", F.posexplode_outer("cut").alias("sub", "compute_units"))
 
 
 def create_sub_devices(devices: DataFrame, partition: int | str | Sequence[int]) -> DataFrame:

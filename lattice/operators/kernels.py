@@ -28,17 +28,25 @@ class SpecConstant:
     """A constant folded into the plan when the bundle is built; compares by value."""
 
     spec_id: int
-    value: bool | int | float
+    value: bool | int | float | complex | bytes
     code: str = "i4"
 
     def __post_init__(self) -> None:
         if not 0 <= self.spec_id < 2**32:
             raise ValueError("spec_id must be an unsigned 32-bit number")
-        if self.code != "?":
+        if self.code != "?" and not self.code.startswith("V"):
             dtype(self.code)
+        if isinstance(self.value, (bytes, bytearray)) and not self.value:
+            raise ValueError("a constant of no bytes")
 
     def column(self) -> Column:
-        return F.lit(self.value).cast("boolean" if self.code == "?" else dtype(self.code).spark)
+        """A literal; a complex value as (real, imag), bytes as they are."""
+        if isinstance(self.value, (bytes, bytearray)):
+            return F.lit(bytearray(self.value))
+        kind = "boolean" if self.code == "?" else dtype(self.code).spark
+        if isinstance(self.value, complex):
+            return F.struct(F.lit(self.value.real).cast(kind).alias("real"), F.lit(self.value.imag).cast(kind).alias("imag"))
+        return F.lit(self.value).cast(kind)
 
 
 @dataclass(frozen=True)
@@ -46,9 +54,17 @@ class RawArg:
     """Bytes of a struct parameter, copied when made."""
 
     data: bytes
+    layout: str | None = None
+    names: tuple[str, ...] = ()
 
-    def __init__(self, data: bytes | bytearray | memoryview) -> None:
+    def __init__(self, data: bytes | bytearray | memoryview, layout: str | None = None, names: Sequence[str] = ()) -> None:
         object.__setattr__(self, "data", bytes(data))
+        object.__setattr__(self, "layout", layout)
+        object.__setattr__(self, "names", tuple(names))
+
+    def column(self) -> Column:
+        """The fields as a struct, or the bytes if there is no layout."""
+        return F.lit(bytearray(self.data)) if self.layout is None else self.unpack(self.layout, self.names)
 
     def unpack(self, layout: str, names: Sequence[str]) -> Column:
         values = struct.unpack(layout, self.data)
@@ -67,6 +83,16 @@ class LocalAccessor:
         if not 1 <= len(self.shape) <= 3 or any(not isinstance(n, int) or n < 0 for n in self.shape):
             raise ValueError("shape must have one to three non-negative sizes")
 
+    @property
+    def size(self) -> int:
+        return reduce(lambda a, b: a * b, self.shape, 1)
+
+    def filled(self, value: Column, at: Column) -> Column:
+        """What a group's memory holds after each item wrote ``value`` at ``at`` and a barrier: an array; of writes to one place the least stays."""
+        of_group = Window.partitionBy("wg")
+        slots = [F.min(F.when(at == k, value.cast(dtype(self.code).spark))).over(of_group) for k in range(self.size)]
+        return F.array(*slots)
+
 
 @dataclass(frozen=True)
 class WorkGroupMemory:
@@ -76,6 +102,10 @@ class WorkGroupMemory:
     def of(cls, code: str, count: int) -> WorkGroupMemory:
         return cls(dtype(code).width * count)
 
+    def shared(self, value: Column) -> Column:
+        """The sum of what the items of a group put into the memory, as each of them reads it after a barrier."""
+        return group_sum(value, F.col("wg"))
+
 
 @dataclass
 class Bundle:
@@ -91,6 +121,11 @@ class Bundle:
     def has(self, name: str) -> bool:
         return name in self.kernels
 
+    @staticmethod
+    def can_compile(language: str) -> bool:
+        """Whether kernels can be built from a source language: from column functions only."""
+        return language.strip().lower() == "column"
+
     def get(self, name: str) -> Callable[..., Column]:
         if name not in self.kernels:
             raise KeyError(f"no kernel {name!r}")
@@ -128,7 +163,7 @@ def with_index(df: DataFrame, global_size: Sequence[int], local_size: Sequence[i
     below = 1
     dims = []
     for g in reversed(global_size):
-        dims.append(F.floor(F.col("idx") / below) % g if below > 1 else F.col("idx") % g)
+        dims.append(F.expr(f"(idx div {below}) % {g}") if below > 1 else F.col("idx") % g)
         below *= g
     out = df.withColumns({f"i{k}": c.cast("bigint") for k, c in enumerate(reversed(dims))})
     if local_size is not None:
@@ -147,13 +182,26 @@ def bind(base: DataFrame, **vectors: DataFrame) -> DataFrame:
 
 
 def launch(df: DataFrame, kernel: Callable[..., Column], *args: object, out: str = "c") -> DataFrame:
-    """``df`` with ``out`` = kernel(args); strings name columns, numbers are scalars."""
-    allowed = (str, bool, int, float, Column, SpecConstant)
-    for a in args:
-        if not isinstance(a, allowed):
-            raise TypeError(f"a kernel takes no {type(a).__name__}")
-    columns = [F.col(a) if isinstance(a, str) else a.column() if isinstance(a, SpecConstant) else a if isinstance(a, Column) else F.lit(a) for a in args]
-    return df.withColumn(out, kernel(*columns))
+    """``df`` with ``out`` = kernel(args).
+
+    Strings name columns, numbers are scalars, a struct argument with a layout is its fields.  Local memory reaches the kernel as the
+    object itself, whose methods work over the work-groups in the column ``wg``.
+    """
+    return df.withColumn(out, kernel(*[_bound(a) for a in args]))
+
+
+def _bound(a: object) -> object:
+    if isinstance(a, str):
+        return F.col(a)
+    if isinstance(a, SpecConstant):
+        return a.column()
+    if isinstance(a, RawArg):
+        return a.column()
+    if isinstance(a, (Column, LocalAccessor, WorkGroupMemory)):
+        return a
+    if isinstance(a, (bool, int, float)):
+        return F.lit(a)
+    raise TypeError(f"a kernel takes no {type(a).__name__}")
 
 
 def group_sum(value: Column, group: Column) -> Column:

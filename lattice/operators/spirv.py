@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 MAGIC = 0x07230203
 NAME, TYPE_BOOL, TYPE_INT, TYPE_FLOAT, SPEC_TRUE, SPEC_FALSE, SPEC_CONSTANT, FUNCTION, DECORATE = 5, 20, 21, 22, 48, 49, 50, 54, 71
 SPEC_ID = 1
+#: Fewest words after the first of the instructions that are read.
+LEAST_ARGS = {NAME: 1, TYPE_BOOL: 1, TYPE_INT: 3, TYPE_FLOAT: 2, SPEC_TRUE: 2, SPEC_FALSE: 2, SPEC_CONSTANT: 3, DECORATE: 2}
+FORMATS = {"i1": "b", "i2": "h", "i4": "i", "i8": "q", "u1": "B", "u2": "H", "u4": "I", "u8": "Q", "f2": "e", "f4": "f", "f8": "d"}
 
 SCHEMA = "path string, spec_id long, dtype string, name string, itemsize int, default_value string"
 
@@ -39,37 +42,51 @@ def _instructions(data: bytes) -> Iterator[tuple[int, tuple[int, ...]]]:
         at += count
 
 
+def _text(words: tuple[int, ...]) -> str:
+    try:
+        return struct.pack(f"={len(words)}I", *words).split(b"\0")[0].decode()
+    except UnicodeDecodeError as e:
+        raise ValueError("a name that isn't UTF-8") from e
+
+
+def _number(raw: bytes, code: str, width: int) -> int | float | None:
+    """The literal of a type, or None if it isn't one of FORMATS."""
+    return struct.unpack(f"={FORMATS[code]}", raw[:width])[0] if code in FORMATS and len(raw) >= width else None
+
+
 def specializations(data: bytes) -> list[dict]:
-    """spec_id, dtype, name, itemsize and default of each specialization constant, by spec_id."""
+    """spec_id, dtype, name, itemsize and default of each specialization constant, by spec_id.
+
+    An id whose type the module doesn't say has dtype ``unknown_type`` and size 0, one without a default a null; of an id that several
+    targets bear the first counts.
+    """
     names: dict[int, str] = {}
     kinds: dict[int, tuple[str, int]] = {}
     targets: dict[int, int] = {}
-    values: dict[int, tuple[int, object]] = {}
+    values: dict[int, tuple[int, bytes | bool]] = {}
     for op, args in _instructions(data):
-        if op == NAME and len(args) > 1:
-            names[args[0]] = struct.pack(f"={len(args) - 1}I", *args[1:]).split(b"\0")[0].decode("utf-8", "replace")
-        elif op == DECORATE and len(args) >= 3 and args[1] == SPEC_ID:
+        if len(args) < LEAST_ARGS.get(op, 0) or op == DECORATE and args[1] == SPEC_ID and len(args) < 3:
+            raise ValueError("a truncated instruction")
+        if op == NAME:
+            names[args[0]] = _text(args[1:])
+        elif op == DECORATE and args[1] == SPEC_ID:
             targets.setdefault(args[2], args[0])
         elif op == TYPE_BOOL:
-            kinds[args[0]] = ("u1", 1)
+            kinds[args[0]] = ("?", 1)
         elif op == TYPE_INT:
             kinds[args[0]] = (f"{'i' if args[2] else 'u'}{args[1] // 8}", args[1] // 8)
         elif op == TYPE_FLOAT:
             kinds[args[0]] = (f"f{args[1] // 8}", args[1] // 8)
         elif op in (SPEC_TRUE, SPEC_FALSE):
-            values[args[1]] = (args[0], int(op == SPEC_TRUE))
+            values[args[1]] = (args[0], op == SPEC_TRUE)
         elif op == SPEC_CONSTANT:
             values[args[1]] = (args[0], struct.pack(f"={len(args) - 2}I", *args[2:]))
     out = []
     for spec_id, target in sorted(targets.items()):
-        if target not in values or values[target][0] not in kinds:
-            continue
-        code, width = kinds[values[target][0]]
-        value = values[target][1]
-        if isinstance(value, bytes):
-            formats = {"i1": "b", "i2": "h", "i4": "i", "i8": "q", "u1": "B", "u2": "H", "u4": "I", "u8": "Q", "f2": "e", "f4": "f", "f8": "d"}
-            value = struct.unpack(f"={formats[code]}", value[:width])[0]
-        out.append({"spec_id": spec_id, "dtype": code, "name": names.get(target) or f"unnamed_spec_const_{spec_id}", "itemsize": width, "default_value": str(value)})
+        kind, value = values.get(target, (None, None))
+        code, width = kinds.get(kind, ("unknown_type", 0))
+        default = _number(value, code, width) if isinstance(value, bytes) else value
+        out.append({"spec_id": spec_id, "dtype": code, "name": names.get(target, f"unnamed_spec_const_{spec_id}"), "itemsize": width, "default_value": None if default is None else str(default)})
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.functions.dtypes import dtype
+from lattice.functions.dtypes import dtype, wide, wrap
 
 
 def allocate(spark: SparkSession, nbytes: int, code: str = "u1") -> DataFrame:
@@ -31,9 +31,11 @@ def memcpy(dest: Column, src: Column, count: int) -> Column:
 
 
 def copy(dest: DataFrame, src: DataFrame, count: int, code: str = "u1") -> DataFrame:
-    """``dest`` with its first ``count`` elements (of dtype ``code``) from ``src``."""
-    dtype(code)
-    head = src.where(F.col("idx") < count).select("idx", F.col("v").alias("from"))
+    """``dest`` with its first ``count`` elements from ``src``, cut to the dtype ``code``."""
+    if count < 0:
+        raise OverflowError("count must not be negative")
+    value = wrap(wide(F.col("v"), code), code) if dtype(code).integral else F.col("v").cast(dtype(code).spark)
+    head = src.where(F.col("idx") < count).select("idx", value.alias("from"))
     return dest.join(head, "idx", "left").select("idx", F.coalesce("from", "v").alias("v"))
 
 
@@ -51,9 +53,13 @@ def memset(vector: DataFrame, val: int, count: int, nbytes: int) -> DataFrame:
     return vector.select("idx", F.when(F.col("idx") < n, F.lit(val & 255).cast("smallint")).otherwise(F.col("v")).alias("v"))
 
 
-def memset_bytes(data: Column, val: int, count: int, nbytes: int) -> Column:
-    n = clamp_count(count, nbytes)
-    return F.concat(F.unhex(F.lit(f"{val & 255:02X}" * n)), F.substring(data, n + 1, nbytes))
+def memset_bytes(data: Column, val: int, count: int) -> Column:
+    """The value's low byte over the first ``count`` bytes of each value; 0 or too many means all."""
+    if count < 0:
+        raise OverflowError("count must not be negative")
+    size = F.octet_length(data)
+    n = size if count == 0 else F.least(size, F.lit(count))
+    return F.concat(F.unhex(F.repeat(F.lit(f"{val & 255:02X}"), n)), F.substring(data, n + 1, size))
 
 
 def fill(spark: SparkSession, pattern: bytes, count: int) -> DataFrame:

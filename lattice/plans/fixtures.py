@@ -6,7 +6,13 @@ compute units, sub-devices and the cuda pair are chosen here, with a score of ze
 
 from __future__ import annotations
 
+import struct
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattice.operators import linalg
 
 PLATFORMS = [(0, "platform a", "vendor a", "opencl"), (1, "platform b", "vendor a", "opencl"), (2, "platform c", "vendor a", "opencl"), (3, "platform d", "vendor a", "level_zero"), (4, "platform e", "vendor b", "cuda"), (5, "platform f", "vendor c", "hip")]
 #: device_id, platform_id, parent_id, backend, device_type, enum_order, score, compute_units, aspects
@@ -68,3 +74,59 @@ def spd_system(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     matrix = spark.sql("SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {v})" for i, j, v in cells) + ") AS t(i, j, v)")
     right = [sum(a * x for a, x in zip(row, SOLUTION, strict=True)) for row in MATRIX]
     return matrix, spark.sql("SELECT * FROM (VALUES " + ", ".join(f"({k}L, {v}D)" for k, v in enumerate(right)) + ") AS t(idx, v)")
+
+
+#: Unknowns, and the rank of what is added to the diagonal.
+RANK = (1000, 16)
+
+
+def rank_system(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """2 I + U U' with ``RANK`` (i, j, v), and the right-hand side that (1, -1/2, 1, -1/2, ...) solves."""
+    n, rank = RANK
+    wave = lambda at, k: F.cos(F.col(at) * (k + 1) + k)
+    cells = spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"))
+    low = reduce(lambda a, b: a + b, [wave("i", k) * wave("j", k) for k in range(rank)])
+    matrix = cells.select("i", "j", (low / n + F.when(F.col("i") == F.col("j"), 2.0).otherwise(0.0)).alias("v"))
+    x = spark.range(n).select(F.col("id").alias("idx"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(-0.5).alias("v"))
+    return matrix, linalg.gemv(matrix, x)
+
+
+def _module(*instructions: tuple[int, ...]) -> bytes:
+    words = [0x07230203, 0x10000, 0, 99, 0]
+    for op, *args in instructions:
+        words += [(len(args) + 1) << 16 | op, *args]
+    return struct.pack(f"={len(words)}I", *words)
+
+
+def _name(target: int, text: str) -> tuple[int, ...]:
+    data = text.encode() + b"\0"
+    data += b"\0" * (-len(data) % 4)
+    return (5, target, *struct.unpack(f"={len(data) // 4}I", data))
+
+
+def _bits(layout: str, value: float) -> tuple[int, ...]:
+    data = struct.pack(f"={layout}", value)
+    return struct.unpack(f"={len(data) // 4}I", data)
+
+
+#: Modules and what they hold: path, spec_id, dtype, name, itemsize, default.
+MODULES = {
+    "composite": _module((71, 10, 1, 0), (71, 11, 1, 1), (71, 12, 1, 2), (21, 1, 32, 0), (22, 2, 32), (21, 3, 8, 0), (50, 1, 10, 1), (50, 2, 11, *_bits("f", 0.0)), (50, 3, 12, 0)),
+    "named": _module(_name(10, "rounds"), _name(11, "fast"), (71, 10, 1, 7), (71, 11, 1, 3), (21, 1, 32, 1), (20, 2), (50, 1, 10, *_bits("i", -5)), (48, 2, 11), (54, 1, 2, 3, 4), (71, 9, 1, 9)),
+    "odd": _module((71, 10, 1, 4), (71, 11, 1, 5), (71, 12, 1, 4), (22, 1, 64), (50, 1, 10, *_bits("d", 2.5)), (49, 77, 12)),
+    "none": _module((21, 1, 32, 0)),
+}
+CONSTANTS = [
+    ("composite", 0, "u4", "unnamed_spec_const_0", 4, "1"), ("composite", 1, "f4", "unnamed_spec_const_1", 4, "0.0"), ("composite", 2, "u1", "unnamed_spec_const_2", 1, "0"),
+    ("named", 3, "?", "fast", 1, "True"), ("named", 7, "i4", "rounds", 4, "-5"), ("odd", 4, "f8", "unnamed_spec_const_4", 8, "2.5"), ("odd", 5, "unknown_type", "unnamed_spec_const_5", 0, None),
+]
+
+
+def modules(spark: SparkSession) -> DataFrame:
+    """(path, content), as files of modules are read."""
+    return spark.sql("SELECT * FROM (VALUES " + ", ".join(f"('{k}', X'{v.hex()}')" for k, v in MODULES.items()) + ") AS t(path, content)")
+
+
+def modules_sql() -> str:
+    rows = ", ".join(f"('{p}', {i}::BIGINT, '{t}', '{n}', {w}, {'NULL' if v is None else repr(v)})" for p, i, t, n, w, v in CONSTANTS)
+    return f"SELECT * FROM (VALUES {rows}) t(path, spec_id, dtype, name, itemsize, default_value)"

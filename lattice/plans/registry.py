@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.functions.dtypes import multiply, wide, wrap
-from lattice.operators import catalog, kernels, linalg, transfer
-from lattice.plans.fixtures import devices, devices_sql, platforms, platforms_sql, spd_system, tasks, tasks_sql
-from lattice.plans.scheduler import event_edges
+from lattice.operators import catalog, kernels, linalg, memory, spirv, transfer
+from lattice.plans.fixtures import RANK, devices, devices_sql, modules, modules_sql, platforms, platforms_sql, rank_system, spd_system, tasks, tasks_sql
+from lattice.plans.scheduler import device_seconds, event_edges
 from lattice.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,7 @@ def axpy_typed(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, 0.5 * l_quantity + 2 * l_tax AS y FROM lineitem")
 def axpby(spark, d):
-    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.lit(0.5) * F.col("l_quantity") + F.lit(2) * F.col("l_tax")).alias("y"))
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", linalg.axpby_of(0.5, F.col("l_quantity"), 2, F.col("l_tax")).alias("y"))
 
 
 @query("SELECT l_orderkey, l_linenumber, 3 * (l_quantity + l_discount) AS c FROM lineitem")
@@ -55,7 +55,7 @@ def scaled_sum(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice - l_quantity AS r FROM lineitem")
 def vec_sub(spark, d):
-    return kernels.launch(read_table(spark, d, "lineitem"), lambda a, b: a - b, "l_extendedprice", "l_quantity", out="r").select("l_orderkey", "l_linenumber", "r")
+    return kernels.launch(read_table(spark, d, "lineitem"), linalg.subtracted, "l_extendedprice", "l_quantity", out="r").select("l_orderkey", "l_linenumber", "r")
 
 
 @query("SELECT o_orderkey, o_orderkey + o_custkey AS c FROM orders")
@@ -74,7 +74,7 @@ def kernel_dag(spark, d):
 
 @query("SELECT o_orderkey, (o_custkey - o_orderkey) % 7 AS m FROM orders")
 def mod_reduce(spark, d):
-    return read_table(spark, d, "orders").select("o_orderkey", ((F.col("o_custkey") - F.col("o_orderkey")) % 7).alias("m"))
+    return read_table(spark, d, "orders").select("o_orderkey", linalg.reduced(F.col("o_custkey") - F.col("o_orderkey"), 7).alias("m"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(sin(sqrt(l_quantity + 1)), 6) AS y FROM lineitem")
@@ -101,16 +101,17 @@ def struct_arg_chain(spark, d):
     import struct
 
     df = read_table(spark, d, "part").select("p_partkey", F.col("p_size").alias("a"))
-    arg = kernels.RawArg(struct.pack("=2i", 4, 5)).unpack("=2i", ["mul", "add"])
+    arg = kernels.RawArg(struct.pack("=2i", 4, 5), "=2i", ["mul", "add"])
     for _ in range(3):
-        df = df.select("p_partkey", wrap(wide(F.col("a"), "i1") * arg["mul"] + arg["add"], "i1").alias("a"))
+        df = kernels.launch(df, lambda a, p: wrap(wide(a, "i1") * p["mul"] + p["add"], "i1"), "a", arg, out="a")
     return df
 
 
 @query("SELECT o_orderkey, (sum(2) OVER (PARTITION BY o_orderkey // 32) * (o_orderkey + 1))::BIGINT AS y FROM orders")
 def group_scratch(spark, d):
     df = read_table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 32").alias("wg"))
-    return df.select("o_orderkey", (kernels.group_sum(F.lit(2), F.col("wg")) * (F.col("o_orderkey") + 1)).alias("y"))
+    memory = kernels.WorkGroupMemory.of("i8", 32)
+    return kernels.launch(df, lambda i, shared: shared.shared(F.lit(2)) * (i + 1), "o_orderkey", memory, out="y").select("o_orderkey", "y")
 
 
 @query("SELECT o_orderkey, o_custkey AS y FROM orders")
@@ -136,7 +137,7 @@ def norm_squared(spark, d):
 
 @query("SELECT round(sum(l_quantity * l_tax), 2) AS s FROM lineitem")
 def dot(spark, d):
-    return read_table(spark, d, "lineitem").agg(F.round(F.coalesce(F.sum(F.col("l_quantity") * F.col("l_tax")), F.lit(0.0)), 2).alias("s"))
+    return read_table(spark, d, "lineitem").agg(F.round(linalg.dot_of(F.col("l_quantity"), F.col("l_tax")), 2).alias("s"))
 
 
 @query("SELECT vec_id AS idx, round(sum(v * (j + 1)), 3) AS v FROM (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY vec_id")
@@ -185,7 +186,7 @@ def byte_length(spark, d):
 @query("SELECT region.r_regionkey, upper(hex(encode(r_name)))  AS before, 'ABABABAB' || substr(upper(hex(encode(r_name))), 9) AS after FROM region")
 def memset_bytes(spark, d):
     data = F.col("r_name").cast("binary")
-    return read_table(spark, d, "region").select("r_regionkey", F.hex(data).alias("before"), F.hex(F.concat(F.unhex(F.lit("AB" * 4)), F.substring(data, 5, 1000))).alias("after"))
+    return read_table(spark, d, "region").select("r_regionkey", F.hex(data).alias("before"), F.hex(transfer.memset_bytes(data, 0xAB, 4)).alias("after"))
 
 
 @query(f"SELECT device_id, backend, device_type, score FROM ({devices_sql()}) WHERE score > 0 AND list_contains(aspects, 'fp64') AND NOT list_contains(aspects, 'emulated') ORDER BY score DESC, enum_order LIMIT 1")
@@ -225,7 +226,8 @@ def partition_equal(spark, d):
     return catalog.create_sub_devices(devices(spark), 3)
 
 
-@query(f"SELECT device_id, unnest([0, 1, 2])::INTEGER AS sub, unnest([4, 2, 1])::INTEGER AS compute_units FROM ({devices_sql()}) WHERE compute_units >= 7")
+@query(f"""SELECT device_id, unnest([0, 1, 2])::INTEGER AS sub, unnest([4, 2, 1])::INTEGER AS compute_units FROM ({devices_sql()}) WHERE compute_units >= 7
+  UNION ALL SELECT device_id, NULL, NULL FROM ({devices_sql()}) WHERE compute_units < 7""")
 def partition_counts(spark, d):
     return catalog.create_sub_devices(devices(spark), [4, 2, 1])
 
@@ -242,7 +244,7 @@ def task_edges(spark, d):
 
 @query(f"SELECT round(sum(end_ns - start_ns) * 1e-9::DOUBLE, 9) AS seconds FROM ({tasks_sql()})")
 def timer_sum(spark, d):
-    return tasks(spark).agg(F.round(F.sum(F.col("end_ns") - F.col("start_ns")) * 1e-9, 9).alias("seconds"))
+    return device_seconds(tasks(spark))
 
 
 @query("SELECT o_orderkey AS i, list(l_quantity ORDER BY l_linenumber, l_quantity) AS row FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -250,3 +252,111 @@ def matrix_rows(spark, d):
     matrix = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("v"))
     known = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("i"))
     return linalg.to_lists(matrix.join(known, "i", "left_semi"))
+
+
+@query(f"SELECT idx, CASE WHEN idx % 2 = 0 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END AS v FROM range({RANK[0]}) t(idx)")
+def cg_rank16(spark, d):
+    """The reference harness's shape: n unknowns, a low-rank perturbation of a diagonal."""
+    x, _ = linalg.conjugate_gradient(*rank_system(spark))
+    return x.select("idx", F.round("v", 6).alias("v"))
+
+
+@query("SELECT vec_id AS idx, round(list_sum(list_transform(embedding, lambda v, j: v::DOUBLE * j)), 3) AS v FROM embeddings")
+def gemv_rows(spark, d):
+    rows = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("row"))
+    return linalg.gemv_rows(rows, list(range(1, 65))).select("idx", F.round("v", 3).alias("v"))
+
+
+@query("SELECT 0::BIGINT + i AS idx, (15 * i + 4)::DOUBLE AS v FROM range(3) t(i)")
+def gemv_leading(spark, d):
+    """Rows of eight elements of which seven count: six ones and 15 i - 2."""
+    flat = spark.range(24).select(F.col("id").alias("idx"), F.when(F.col("id") % 8 == 6, F.expr("15 * (id div 8) - 2")).when(F.col("id") % 8 == 7, F.lit(1000)).otherwise(F.lit(1)).cast("double").alias("v"))
+    return linalg.gemv(flat, spark.range(7).select(F.col("id").alias("idx"), F.lit(1.0).alias("v")), 8)
+
+
+@query("SELECT round(sum(l_quantity * l_quantity + l_discount * l_discount), 2) AS s FROM lineitem")
+def norm_complex(spark, d):
+    df = read_table(spark, d, "lineitem").select(F.struct(F.col("l_quantity").alias("real"), F.col("l_discount").alias("imag")).alias("v"))
+    return linalg.norm_squared_complex(df).select(F.round("s", 2).alias("s"))
+
+
+@query("SELECT round(sum(p_size * p_retailprice + p_retailprice * p_size), 1) AS real, round(sum(p_size * p_size - p_retailprice * p_retailprice), 1) AS imag FROM part")
+def dot_complex(spark, d):
+    df = read_table(spark, d, "part").withColumn("p_size", F.col("p_size").cast("double"))
+    pair = lambda a, b: df.select(F.col("p_partkey").alias("idx"), F.struct(F.col(a).alias("real"), F.col(b).alias("imag")).alias("v"))
+    return linalg.dot_complex(pair("p_size", "p_retailprice"), pair("p_retailprice", "p_size")).select(F.round("real", 1).alias("real"), F.round("imag", 1).alias("imag"))
+
+
+@query("SELECT c_custkey, upper(hex(encode(c_name[1:4] || c_mktsegment[5:]))) AS v FROM customer WHERE length(c_mktsegment) >= 4")
+def memcpy_bytes(spark, d):
+    df = read_table(spark, d, "customer").where("octet_length(c_mktsegment) >= 4")
+    return df.select("c_custkey", F.hex(transfer.memcpy(F.col("c_mktsegment").cast("binary"), F.col("c_name").cast("binary"), 4)).alias("v"))
+
+
+@query("SELECT idx, 'DEADBEEF' AS v FROM range(48) t(idx)")
+def fill_pattern(spark, d):
+    return transfer.fill(spark, bytes.fromhex("DEADBEEF"), 48).select("idx", F.hex("v").alias("v"))
+
+
+@query(f"SELECT device_type, count(*) AS n, count(*) > 0 AS found FROM ({devices_sql()}) WHERE score >= 0 GROUP BY device_type")
+def device_counts(spark, d):
+    rows = [(t, catalog.num_devices(devices(spark), "all", t), catalog.has_devices(devices(spark), t)) for t in catalog.TYPES]
+    return spark.createDataFrame(rows, "device_type string, n long, found boolean").where("found")
+
+
+@query(f"SELECT device_id, list_contains(aspects, 'fp64') AS has FROM ({devices_sql()})")
+def aspect_of_device(spark, d):
+    return catalog.has_aspect(devices(spark), "fp64")
+
+
+@query(f"SELECT device_id FROM ({devices_sql()}) WHERE score >= 0 ORDER BY score DESC, enum_order LIMIT 1")
+def best_device(spark, d):
+    return catalog.select_best(devices(spark)).select("device_id")
+
+
+@query(f"""WITH RECURSIVE dev AS ({devices_sql()}), up(device_id, root) AS (SELECT device_id, device_id FROM dev WHERE parent_id IS NULL UNION ALL SELECT dev.device_id, up.root FROM dev JOIN up ON dev.parent_id = up.device_id),
+  nth AS (SELECT device_id AS root, row_number() OVER (ORDER BY enum_order) - 1 AS number FROM dev WHERE parent_id IS NULL AND score >= 0) SELECT up.device_id, number FROM up JOIN nth USING (root)""")
+def device_number(spark, d):
+    return catalog.device_numbers(devices(spark))
+
+
+@query(f"SELECT parent_id AS device_id, list(device_id ORDER BY enum_order) AS component_ids FROM ({devices_sql()}) WHERE parent_id IS NOT NULL GROUP BY parent_id")
+def composite_devices(spark, d):
+    return catalog.composites(devices(spark))
+
+
+@query(f"SELECT platform_id, platform_name FROM ({platforms_sql()})")
+def platform_names(spark, d):
+    return catalog.platform_listing(platforms(spark), devices(spark), 0)
+
+
+@query(f"SELECT platform_id, platform_name, vendor, p.backend, device_id, device_type, enum_order FROM ({platforms_sql()}) p LEFT JOIN ({devices_sql()}) v USING (platform_id)")
+def platform_devices(spark, d):
+    return catalog.platform_listing(platforms(spark), devices(spark), 2).select("platform_id", "platform_name", "vendor", "backend", "device_id", "device_type", "enum_order")
+
+
+@query(modules_sql())
+def spirv_constants(spark, d):
+    return spirv.parse_modules(modules(spark))
+
+
+def _allocations(spark: SparkSession) -> list[memory.Allocation]:
+    here, there = memory.Context.of(spark, [13, 11]), memory.Context.of(spark, 14)
+    return [memory.allocate(spark, 16 << k, kind, c) for k, (kind, c) in enumerate([("device", here), ("shared", here), ("host", there)])]
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 16::BIGINT, 'device', 13), (1, 32, 'shared', 13), (2, 64, 'unknown', 14)) t(alloc, nbytes, kind, device_id)")
+def allocation_kinds(spark, d):
+    return memory.catalog(spark, _allocations(spark), memory.Context.of(spark, [13, 11]))
+
+
+@query(f"SELECT alloc, device_id, backend, device_type FROM (VALUES (0::BIGINT, 13), (1, 13), (2, 14)) t(alloc, device_id) JOIN ({devices_sql()}) USING (device_id)")
+def allocation_owner(spark, d):
+    return memory.owners(memory.catalog(spark, _allocations(spark)), devices(spark))
+
+
+@query("SELECT idx, (CASE WHEN idx < 16 THEN 7 ELSE 0 END)::SMALLINT AS v FROM range(32) t(idx)")
+def device_copy(spark, d):
+    small, large, _ = _allocations(spark)
+    seven = memory.Allocation(transfer.memset(small.vector, 7, 0, 16), small.kind, 16, "u1", small.device, small.context)
+    return memory.copy_from_device(large, seven).vector

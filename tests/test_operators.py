@@ -3,6 +3,7 @@ from __future__ import annotations
 import copy
 import math
 import struct
+import threading
 import time
 
 import numpy as np
@@ -10,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattice.functions.dtypes import DTYPES, multiply, wide, wrap
-from lattice.operators import catalog, kernels, linalg, spirv, transfer
+from lattice import __main__ as cli
+from lattice.operators import catalog, kernels, linalg, memory, spirv, transfer
 from lattice.plans import fixtures
-from lattice.plans.scheduler import Event, OrderManager, Queue, SequentialOrderManager, Timer, cached_queue, queues_are_compatible, traced
+from lattice.plans.scheduler import Event, OrderManager, Queue, SequentialOrderManager, Timer, cached_context, cached_queue, default_device, device_seconds, queues_are_compatible, traced
 
 NUMPY = {"i1": np.int8, "i2": np.int16, "i4": np.int32, "i8": np.int64, "u1": np.uint8, "u2": np.uint16, "u4": np.uint32, "u8": np.uint64}
 
@@ -137,7 +139,7 @@ def test_memset_and_copy(spark):
     assert bytes(data.select(transfer.memcpy(F.col("d"), F.col("s"), 2).alias("o")).first()["o"]) == b"XYcdef"
     with pytest.raises(Exception, match="beyond a buffer"):
         data.select(transfer.memcpy(F.col("d"), F.col("s"), 4).alias("o")).collect()
-    assert bytes(data.select(transfer.memset_bytes(F.col("d"), 0x141, 2, 6).alias("o")).first()["o"]) == b"AAcdef"
+    assert bytes(data.select(transfer.memset_bytes(F.col("d"), 0x141, 2).alias("o")).first()["o"]) == b"AAcdef"
     assert [bytes(r["v"]) for r in transfer.fill(spark, b"ab", 2).collect()] == [b"ab", b"ab"]
     with pytest.raises(ValueError):
         transfer.checked_copy_to_host(3, 4)
@@ -207,9 +209,14 @@ def test_spirv(spark):
         (spirv.NAME, 11, *struct.unpack("=2I", b"scale\0\0\0")), (spirv.TYPE_INT, 1, 32, 0), (spirv.TYPE_FLOAT, 2, 32), (spirv.TYPE_BOOL, 3),
         (spirv.SPEC_CONSTANT, 1, 10, 1), (spirv.SPEC_CONSTANT, 2, 11, half), (spirv.SPEC_FALSE, 3, 12), (spirv.FUNCTION, 1, 1, 1, 1), (spirv.NAME, 10, 0x61),
     )
-    want = [(0, "u4", "unnamed_spec_const_0", 4, "1"), (1, "f4", "scale", 4, "4.0"), (2, "u1", "unnamed_spec_const_2", 1, "0")]
+    want = [(0, "u4", "unnamed_spec_const_0", 4, "1"), (1, "f4", "scale", 4, "4.0"), (2, "?", "unnamed_spec_const_2", 1, "False")]
     df = spark.createDataFrame([("m", bytearray(data))], "path string, content binary")
     assert [tuple(r)[1:] for r in spirv.parse_modules(df).orderBy("spec_id").collect()] == want
+    odd = module((spirv.DECORATE, 10, spirv.SPEC_ID, 5), (spirv.DECORATE, 11, spirv.SPEC_ID, 6), (spirv.TYPE_INT, 1, 48, 0), (spirv.SPEC_CONSTANT, 1, 11, 1, 2))
+    assert [tuple(r.values()) for r in spirv.specializations(odd)] == [(5, "unknown_type", "unnamed_spec_const_5", 0, None), (6, "u6", "unnamed_spec_const_6", 6, None)]
+    for bad in (module((spirv.NAME, 3, 0xFFFFFFFF)), module((spirv.TYPE_INT, 1, 32)), module((spirv.DECORATE, 1, spirv.SPEC_ID)), module((spirv.SPEC_CONSTANT, 1, 2))):
+        with pytest.raises(ValueError):
+            spirv.specializations(bad)
     for bad in (b"", data[:-2], b"\0" * 24, module((spirv.NAME,))[:-4] + struct.pack("=I", 5), module() + struct.pack("=I", 4 << 16 | 5)):
         with pytest.raises(ValueError):
             spirv.specializations(bad)
@@ -244,6 +251,60 @@ def test_queues_and_events(spark):
     assert host > 0 and device >= 50
     with pytest.raises(ValueError), timer(q):
         pass
+    with pytest.raises(TypeError), timer("q"):
+        pass
+    with pytest.raises(ValueError):
+        Timer(device_timer="clock")
+    assert math.isclose(device_seconds(timer.recorded(spark)).first()["seconds"] * 1000, device, abs_tol=1e-3)
+
+
+def test_barriers_fence_and_managers_time(spark):
+    for kind in ((), "in_order"):
+        q = Queue(spark, kind)
+        order = []
+        for k in range(20):
+            q.submit_async(lambda k=k: (time.sleep(0.01), order.append(k)))
+        barrier = q.submit_barrier()
+        late = [q.submit_async(lambda: order.append(barrier.execution_status)) for _ in range(20)]
+        q.wait()
+        assert sorted(order[:20]) == list(range(20)) and order[20:] == ["complete"] * 20 and all(e.execution_status == "complete" for e in late)
+    # A barrier after one event waits for that one only, and fences what is submitted later.
+    q = Queue(spark, threads=2)
+    gate, seen = threading.Event(), []
+    a, slow = q.submit_async(lambda: seen.append("a")), q.submit_async(gate.wait)
+    q.submit_barrier([a]).wait()
+    q.submit_async(lambda: seen.append("b")).wait()
+    assert seen == ["a", "b"] and slow.execution_status != "complete"
+    gate.set()
+    with pytest.raises(ZeroDivisionError):
+        q.submit_async(lambda: 1 / 0).wait()
+    p = Queue(spark, "enable_profiling")
+    managers = SequentialOrderManager()
+    timer = Timer(device_timer="order_manager", managers=managers)
+    with timer(p):
+        for _ in range(3):
+            e = p.submit_async(lambda: time.sleep(0.02), managers[p].submitted_events)
+            managers[p].add_event_pair(e, e)
+    assert timer.dt[1] >= 0.055
+
+
+def test_arguments_reach_the_kernel(spark):
+    df = spark.range(8).select(F.col("id").alias("idx"), F.expr("id div 4").alias("wg"))
+    arg = kernels.RawArg(struct.pack("=if", 3, 0.5), "=if", ["k", "s"])
+    assert [r["c"] for r in kernels.launch(df, lambda i, p: i * p["k"] + p["s"], "idx", arg).orderBy("idx").collect()] == [3 * i + 0.5 for i in range(8)]
+    turned = kernels.launch(df, lambda i, m: m.filled(i, 3 - i % 4)[(i % 4).cast("int")], "idx", kernels.LocalAccessor("i8", (4,)))
+    assert [r["c"] for r in turned.orderBy("idx").collect()] == [3, 2, 1, 0, 7, 6, 5, 4]
+    value = spark.range(1).select(kernels.SpecConstant(0, 1 + 2j, "f8").column().alias("z"), kernels.SpecConstant(1, b"ab").column().alias("b")).first()
+    assert (value["z"]["real"], value["z"]["imag"], bytes(value["b"])) == (1.0, 2.0, b"ab")
+    with pytest.raises(ValueError):
+        kernels.SpecConstant(0, b"")
+    assert kernels.Bundle.can_compile("column") and not kernels.Bundle.can_compile("sycl")
+    with pytest.raises(ValueError):
+        linalg.reduced(F.lit(1), 0)
+    with pytest.raises(ValueError):
+        linalg.gemv(fixtures.spd_system(spark)[0], linalg.zeros(spark, 5), 4)
+    with pytest.raises(OverflowError):
+        transfer.copy(linalg.zeros(spark, 3), linalg.zeros(spark, 3), -1)
 
 
 def test_order_managers(spark):
@@ -265,3 +326,49 @@ def test_order_managers(spark):
 
         assert os.environ["LATTICE_TEST"] == "1"
     assert "LATTICE_TEST" not in os.environ
+
+
+def test_contexts_and_queues_on_devices(spark):
+    d = fixtures.devices(spark)
+    for bad in ([], "gpu", [None]):
+        with pytest.raises(TypeError):
+            memory.Context.of(spark, bad)
+    c = memory.Context.of(spark, [13, 14])
+    assert c == memory.Context.of(spark, [13, 14]) and c.get_devices() == [13, 14] and c.device_count == 2
+    assert cached_context(spark, (13, 14)) is cached_context(spark, (13, 14)) and default_device(d) == 13
+    assert Queue.select(spark, d, "opencl:cpu").device == 11 and Queue.select(spark, d, properties="in_order").is_in_order
+    assert Queue(spark, context=c).device == 13 and Queue(spark, device=14).context == memory.Context.of(spark, 14)
+    with pytest.raises(ValueError):
+        Queue(spark, device=11, context=c)
+    assert queues_are_compatible(Queue(spark, context=c), Queue(spark, device=14, context=c)) and not queues_are_compatible(Queue(spark, context=c), Queue(spark, device=11))
+
+
+def test_allocations(spark, tmp_path):
+    c, other = memory.Context.of(spark, 13), memory.Context.of(spark, 11)
+    a = memory.copy_from_host(memory.allocate(spark, 8, "shared", c), b"abcd")
+    assert a.usm_type() == a.usm_type(c) == "shared" and a.usm_type(other) == "unknown"
+    assert memory.copy_to_host(a) == b"abcd\0\0\0\0" == bytes(memory.buffer(a))
+    memory.save(a, str(tmp_path / "a"))
+    back = memory.load(spark, str(tmp_path / "a"), other)
+    assert memory.copy_to_host(back) == b"abcd\0\0\0\0" and (back.kind, back.nbytes, back.device) == ("shared", 8, 11)
+    spark.sql("SELECT 0L AS idx, 1 AS v, 'odd' AS kind, 'u1' AS code").write.parquet(str(tmp_path / "b"))
+    big = memory.copy_from_device(memory.allocate(spark, 10, "device", other), a)
+    assert memory.copy_to_host(big) == b"abcd" + b"\0" * 6
+    for bad in (lambda: memory.load(spark, str(tmp_path / "b"), c), lambda: memory.allocate(spark, 8, "odd", c), lambda: memory.copy_from_device(a, big), lambda: memory.copy_from_host(a, b"x" * 9), lambda: memory.allocate(spark, 0, "host", c)):
+        with pytest.raises(ValueError):
+            bad()
+    for bad in (lambda: memory.buffer(big), lambda: memory.copy_to_host(memory.allocate(spark, 8, "host", c, "i4"))):
+        with pytest.raises(TypeError):
+            bad()
+    q = Queue(spark)
+    made = q.transfer_async(transfer.memset, a.vector, 1, 0, 8, depends_on=[q.submit_async(lambda: None)]).wait()
+    assert [r["v"] for r in made.collect()] == [1] * 8
+    q.release(made)
+
+
+def test_listing(spark, capsys):
+    assert [cli.listing(spark, v).count() for v in (0, 1, 2)] == [6, 6, 9]
+    cli.main(["-s"])
+    assert "platform f" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["-s", "-l"])
