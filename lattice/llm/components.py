@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm._shared import written
+from lattice.llm._shared import discard, written
 
 
-def _towards_least(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each pair with the least of u and everything u is paired with."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("of"), F.least("least", "u").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("of")).select("u", "v", "m")
+def _towards_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m): each pair with the least of u and everything u is paired with; and the table of those, written so that a hub's rows
+    can be split in the join."""
+    least = written(pairs.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("of"), F.least("least", "u").alias("m")), "least")
+    return pairs.join(least, F.col("u") == F.col("of")).select("u", "v", "m"), least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,9 +29,13 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = tuple(stamp)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _towards_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = _towards_least(large)
+        around, least = _towards_least(both)
+        large = written(around.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        near, nearest = _towards_least(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        now = written(small.where(F.col("u") != F.col("v")).distinct(), "links")
+        before, now = now, written(small.where(F.col("u") != F.col("v")).distinct(), "links")
+        discard(before, least, large, nearest)
     rooted = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return rooted.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = written(rooted.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    discard(now)
+    return out

@@ -1,17 +1,17 @@
 """Substring dedup by paragraph MinHash banding, and by passages in what that leaves.
 
-A paragraph is a line with at least ``LEAST_WORDS`` words; a shorter line is no paragraph, as headings and licence lines repeat.
-Paragraphs that collide in a band are compared by exact Jaccard similarity of their five-word shingles (minhash.cluster), and of each
-component the first paragraph in order of (doc_id, line) stays.
+A paragraph is a line with a shingle of its own, so of ``minhash.SHINGLE`` words or more.  Equal lines are one node; lines that collide
+in a band are compared by exact Jaccard similarity of their shingles (minhash.cluster), and of each component the first line in order
+of (doc_id, line) stays.
 
-Passages are found whatever the lines: in the words that are left of a document, the least shingle hash of any ``REACH`` in a row is an
-anchor, and the ``UNIT`` words from an anchor on are a unit.  Texts with UNIT + REACH - 1 words in common have a unit in common.  Of equal
-units (128 bits stand for the words) the first in order of (doc_id, word) stays; the words of the others are cut, the white space
-around them stays.  Units of one document that overlap the first take nothing from each other.
+Passages are found whatever the lines, so in shorter lines as well: in the words that are left of a document, the least shingle hash of
+any ``REACH`` in a row is an anchor, and the ``UNIT`` words from an anchor on are a unit.  Texts with UNIT + REACH - 1 words in common
+have a unit in common.  Of equal units (128 bits stand for the words) the first in order of (doc_id, word) stays; the words of the others
+are cut, the white space around them stays.  Units of one document that overlap the first take nothing from each other.
 
 Defined cases: null text is empty and has no lines; a null doc_id comes last in that order; rows that repeat doc_id and text are one
 document and share their result; rows that share only the doc_id are told apart by their texts; an empty table gives an empty result;
-further columns are ignored.
+very long lines and texts are hashed in pieces; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattice.llm import minhash
-from lattice.llm._shared import SPACED_WORD, release, small, written
+from lattice.llm._shared import SPACED_WORD, discard, written
 
-LEAST_WORDS = 20
 #: Words of a unit, a multiple of minhash.SHINGLE; positions in a row of which one is an anchor.
 UNIT, REACH = 40, 10
+#: A line of minhash.SHINGLE words or more; it looks no further than the last of them.
+PARAGRAPH = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{minhash.SHINGLE - 1}}}[^\x20\x09-\x0D]"
 NO_ID = 2**63 - 1
 _MIX = np.random.default_rng(7).integers(0, 2**63, (2, UNIT // minhash.SHINGLE), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -43,24 +44,42 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
 
+def _repeated_lines(rows: DataFrame) -> DataFrame:
+    """(of, of_key, removed, long, kept_in): line numbers that go from each document, the words of those of UNIT words or more, and the
+    doc_ids that keep them."""
+    flat = rows.select("doc_id", "key", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
+    lines = flat.select("doc_id", "key", "line", "text", *minhash.keyed(F.col("text")), F.regexp_count("text", F.lit(SPACED_WORD)).alias("words")).where(F.col("text").rlike(PARAGRAPH))
+    grouped = minhash.cluster(lines.select("k1", "k2", "text"))
+    placed = lines.drop("text").join(grouped, ["k1", "k2"], "left").select(
+        F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2"), F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "key", "line", "words",
+    )
+    placed = written(placed, "placed")
+    first = written(placed.groupBy("c1", "c2").agg(F.min(F.struct("ord", "key", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
+    # Merge joins of two written tables: the same plan at every size, and Spark can split a line that very many documents have.
+    gone = placed.join(first.hint("merge"), ["c1", "c2"]).where(F.struct("ord", "key", "line") != F.col("first"))
+    by_doc = gone.groupBy(F.col("ord").alias("of"), F.col("key").alias("of_key")).agg(
+        F.sort_array(F.collect_set(F.struct("line", "words"))).alias("gone"), F.sort_array(F.collect_set(F.nullif("first.ord", F.lit(NO_ID)))).alias("kept_in")
+    )
+    long = F.aggregate(F.filter("gone", lambda x: x["words"] >= UNIT), F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    out = written(by_doc.select("of", "of_key", F.transform("gone", lambda x: x["line"]).alias("removed"), long.alias("long"), "kept_in"), "gone")
+    discard(placed, first, grouped)
+    return out
+
+
 def _without_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_lines, removed, kept_in, text) of each document: what is left without repeated paragraphs."""
+    """(ord, key, doc_id, n_lines, removed, long, kept_in, text) of each document: what is left without repeated paragraphs."""
     rows = _rows(docs)
-    lines = rows.select("doc_id", "key", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
-    paragraphs = written(lines.where(F.regexp_count("text", F.lit(SPACED_WORD)) >= LEAST_WORDS).withColumn("id", F.monotonically_increasing_id()), "paragraphs")
-    grouped = minhash.cluster(paragraphs.select("id", "text"))
-    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "key", "line")
-    placed = written(paragraphs.select("id", "doc_id", "key", "line", place.alias("place")).join(grouped, "id"), "placed")
-    first = placed.groupBy("component").agg(F.min("place").alias("first"))
-    gone = placed.join(first, "component").where(F.col("place") != F.col("first"))
-    by_doc = written(
-        gone.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key"))
-        .agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set(F.nullif("first.ord", F.lit(NO_ID)))).alias("kept_in")), "gone"
+    by_doc = _repeated_lines(rows)
+    # A merge join by hint, so the plan is the same at every size.
+    joined = rows.withColumn("ord", F.coalesce("doc_id", F.lit(NO_ID))).join(by_doc.hint("merge"), (F.col("ord") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    joined = joined.select(
+        "ord", "key", "doc_id", lines_of(F.col("text")).alias("lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+        F.coalesce("long", F.lit(0).cast("long")).alias("long"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"),
     )
-    release(docs.sparkSession)
-    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
-    joined = joined.select("doc_id", "key", lines_of(F.col("text")).alias("lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
-    return joined.select("doc_id", "key", F.size("lines").cast("long").alias("n_lines"), "removed", "kept_in", F.array_join(without(F.col("lines"), F.transform("removed", lambda x: F.struct(x.alias("first"), F.lit(1).alias("n")))), "\n").alias("text"))
+    kept = F.array_join(without(F.col("lines"), F.transform("removed", lambda x: F.struct(x.alias("first"), F.lit(1).alias("n")))), "\n")
+    left = written(joined.select("ord", "key", "doc_id", F.size("lines").cast("long").alias("n_lines"), "removed", "long", "kept_in", kept.alias("text")), "left")
+    discard(by_doc)
+    return left
 
 
 def _slid(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
@@ -72,18 +91,22 @@ def _slid(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
     return pick(x[:n], x[REACH - reach : REACH - reach + n])
 
 
-def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each unit, the 128 bits that stand for it) of a text with the shingle hashes ``x``."""
-    n = len(x) - UNIT + minhash.SHINGLE  # positions where a unit can start
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+def units(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, the 128 bits that stand for it) of each unit of texts with ``counts`` of the shingle hashes ``x``."""
+    ends = np.cumsum(counts)
+    last = np.repeat(ends, counts)  # where each position's text ends
+    here = np.arange(len(x))
+    if len(x) < REACH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
     least = _slid(x, np.minimum)
+    least[here[: len(least)] + REACH > last[: len(least)]] = 0  # stretches across two texts
     around = _slid(np.r_[np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)], np.maximum)
-    at = np.flatnonzero(x[:n] == around[:n])
+    at = np.flatnonzero((x == around) & (here + UNIT - minhash.SHINGLE < last))
     parts = x[at[None, :] + np.arange(0, UNIT, minhash.SHINGLE)[:, None]]
     bits = np.stack([((parts ^ (parts >> np.uint64(32))) * m[:, None]).sum(axis=0, dtype=np.uint64) for m in _MIX])
     bits ^= bits >> np.uint64(31)
-    return at, bits.view(np.int64)
+    text = np.searchsorted(ends, at, side="right")
+    return text, at - (ends - counts)[text], bits.view(np.int64)
 
 
 def _units(left: DataFrame) -> DataFrame:
@@ -92,25 +115,32 @@ def _units(left: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ords, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            first, size, held = 0, 0, []
             for k, text in enumerate(batch.column(2)):
-                at, bits = units(minhash.shingles(text.as_py()))
-                if len(at):
-                    columns = np.full(len(at), ords[k]), np.full(len(at), keys[k]), at.astype(np.int32), *bits
+                held.append(text.as_py())
+                size += len(held[-1])
+                if size >= minhash.BLOCK or k == len(ords) - 1:
+                    which, at, bits = units(*minhash.shingled(held))
+                    columns = ords[first + which], keys[first + which], at.astype(np.int32), *bits
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ord", "key", "at", "k1", "k2"])
+                    first, size, held = k + 1, 0, []
 
-    return left.select(F.coalesce("doc_id", F.lit(NO_ID)), "key", "text").mapInArrow(run, "ord long, key long, at int, k1 long, k2 long")
+    return left.select("ord", "key", "text").mapInArrow(run, "ord long, key long, at int, k1 long, k2 long")
 
 
 def _passages(left: DataFrame) -> DataFrame:
     """(of, of_key, ats, keepers): first words of the units to be cut from each document, and the doc_ids that have them first."""
     found = written(_units(left), "units")
     again = written(found.groupBy("k1").count().where("count > 1").select("k1"), "again")
-    several = written(found.join(small(again, 16), "k1", "left_semi"), "several")
-    first = written(several.groupBy("k1", "k2").agg(F.min(F.struct("ord", "key", "at")).alias("first")), "firsts")
-    placed = several.join(small(first, 64), ["k1", "k2"])
+    several = written(found.join(again.hint("merge"), "k1", "left_semi"), "several")
+    discard(found, again)
+    first = written(several.groupBy("k1", "k2").agg(F.min(F.struct("ord", "key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
+    placed = several.join(first.hint("merge"), ["k1", "k2"])
     gone = placed.where((F.col("ord") != F.col("first.ord")) | (F.col("key") != F.col("first.key")) | (F.col("at") >= F.col("first.at") + UNIT))
     by_doc = gone.groupBy(F.col("ord").alias("of"), F.col("key").alias("of_key"))
-    return written(by_doc.agg(F.sort_array(F.collect_set("at")).alias("ats"), F.collect_set(F.nullif("first.ord", F.lit(NO_ID))).alias("keepers")), "passages")
+    out = written(by_doc.agg(F.sort_array(F.collect_set("at")).alias("ats"), F.collect_set(F.nullif("first.ord", F.lit(NO_ID))).alias("keepers")), "passages")
+    discard(several, first)
+    return out
 
 
 def stretches(ats: list[int]) -> list[tuple[int, int]]:
@@ -133,26 +163,26 @@ def cut_words(text: str, gaps: list[tuple[int, int]]) -> str:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_lines, removed (line numbers), kept_in (doc_ids that keep what goes), cut, kept (text).
+    """A row for each document: doc_id, n_lines, removed (line numbers), n_long, kept_in (doc_ids that keep what goes), cut, kept (text).
 
-    ``cut`` has the stretches (first, n) of words that go from what is left without the removed lines.
+    ``cut`` has the stretches (first, n) of words that go from what is left without the removed lines; ``n_long`` counts the words that
+    go in lines or stretches of UNIT words or more.
     """
-    left = written(_without_lines(docs), "left")
-    release(docs.sparkSession)
+    left = _without_lines(docs)
     passages = _passages(left)
-    release(docs.sparkSession)
-    joined = left.join(passages, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
-    joined = joined.select("doc_id", "n_lines", "removed", F.array_sort(F.array_union("kept_in", F.coalesce("keepers", F.array().cast("array<long>")))).alias("kept_in"), "ats", "text")
+    joined = left.join(passages.hint("merge"), (F.col("ord") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    joined = joined.select("doc_id", "n_lines", "removed", F.array_sort(F.array_union("kept_in", F.coalesce("keepers", F.array().cast("array<long>")))).alias("kept_in"), "long", "ats", "text")
     pair = pa.struct([("first", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gaps = [stretches(a or []) for a in batch.column(4).to_pylist()]
-            kept = [cut_words(t, g) if g else t for t, g in zip(batch.column(5).to_pylist(), gaps, strict=True)]
+            gaps = [stretches(a or []) for a in batch.column(5).to_pylist()]
+            kept = [cut_words(t.as_py(), g) if g else t.as_py() for t, g in zip(batch.column(6), gaps, strict=True)]
             cut = pa.array([[{"first": a, "n": n} for a, n in g] for g in gaps], pa.list_(pair))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], cut, pa.array(kept, pa.string())], ["doc_id", "n_lines", "removed", "kept_in", "cut", "kept"])
+            n_long = pa.array([n + sum(m for _, m in g) for n, g in zip(batch.column(4).to_pylist(), gaps, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], n_long, cut, pa.array(kept, pa.string())], ["doc_id", "n_lines", "removed", "kept_in", "n_long", "cut", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_lines long, removed array<int>, kept_in array<long>, cut array<struct<first:int,n:int>>, kept string")
+    return joined.mapInArrow(run, "doc_id long, n_lines long, removed array<int>, kept_in array<long>, n_long long, cut array<struct<first:int,n:int>>, kept string")
 
 
 def without(lines: Column, gaps: Column) -> Column:

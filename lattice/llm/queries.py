@@ -24,7 +24,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[: pii.BASE])],
-        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"),
+        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -50,7 +50,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraphs.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_cut = F.aggregate("cut", F.lit(0), lambda a, x: a + x["n"]).cast("long")
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", n_cut.alias("n_cut"), "cut", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", n_cut.alias("n_cut"), "n_long", "cut", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,15 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def jaccard(a, b):
+    def grams(t):
+        w = spaced(lowered(t))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 def groups(n, linked):
     """The least index reachable from each of n."""
     label = list(range(n))

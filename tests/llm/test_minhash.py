@@ -3,8 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
+import brute
 from lattice.llm import minhash
 
 
@@ -12,13 +15,7 @@ def words(rng, n):
     return " ".join(rng.choice("abcdefgh") + rng.choice("xyz") + str(rng.randint(0, 40)) for _ in range(n))
 
 
-def brute_jaccard(a, b):
-    def grams(t):
-        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    x, y = grams(a), grams(b)
-    return len(x & y) / len(x | y) if x | y else 1.0
+brute_jaccard = brute.jaccard
 
 
 def test_jaccard_and_estimate():
@@ -31,63 +28,127 @@ def test_jaccard_and_estimate():
     assert minhash.jaccard(None, " ") == 1 and minhash.as_text(minhash.signature(None)) == "f" * 512
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 47])
+def brute_signature(text):
+    """The rule in plain integers: polynomial word hashes, shingles of five, the least of each member of the family."""
+    whole, table = 2**64 - 1, [int(x) for x in minhash._BYTES]
+
+    def word(w):
+        h = (sum(table[b] * pow(minhash._BASE, k, 2**64) for k, b in enumerate(w.encode())) + len(w.encode())) & whole
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & whole
+        return h ^ h >> 29
+
+    own = [word(w) for w in brute.spaced(brute.lowered(text))]
+    if not own:
+        return [2**32 - 1] * minhash.SLOTS
+    own += [0] * (minhash.SHINGLE - len(own))
+    grams = []
+    for k in range(len(own) - minhash.SHINGLE + 1):
+        x = sum(h * int(m) for h, m in zip(own[k:], minhash._MIX, strict=False)) & whole
+        x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & whole
+        grams.append(x ^ x >> 29)
+    return [min((int(a) * x + int(b)) & whole for x in grams) >> 32 for a, b in zip(minhash._A, minhash._B, strict=True)]
+
+
+def as_hex(sig):
+    return "".join(f"{x:08x}" for x in sig)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 47, 150])
 def test_edits_follow_the_rule(spark, n):
     rng = random.Random(n)
-    rows = [(rng.randint(0, 30) if k % 7 else None, rng.choice([None, "", "é" * k, words(rng, k)])) for k in range(n)]
+    rows = [(rng.randint(0, 30) if k % 7 else rng.choice([None, 2**62 + k]), rng.choice([None, "", "é" * k, words(rng, k)])) for k in range(n)]
     if n == 3:
         rows = [(1, "same text"), (1, "same text"), (1, "other")]
+    if n == 150:  # two ids hold nearly all rows
+        rows = [(None if k % 3 else 5 if k % 2 else k, words(rng, k % 20)) for k in range(n)]
     df = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, fingerprint int").repartition(5)
-    got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in minhash.fingerprint_edits(df).collect())
-    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in minhash.fingerprint_edits(df).collect())
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, ((xxhash.xxh64_intdigest(r[1].encode(), 42) + 2**63) % 2**64) >> 12))
     want = []
     for k, (d, t) in enumerate(ordered):
         nxt = ordered[(k + 1) % len(ordered)][1]
         h = len(t) // 2
-        want.append((str(d), len(t), hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest(), minhash.as_text(minhash.signature(t))))
+        edited = t[: len(t) - h] + nxt[:h]
+        own, changed, other = (brute_signature(x) for x in (t, edited, nxt))
+        like = lambda x: sum(p == q for p, q in zip(own, x, strict=True)) / len(own)
+        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), as_hex(own), as_hex(changed), like(changed), like(other)))
     assert got == sorted(want)
 
 
-def test_near_duplicates_match_brute_force(spark):
-    rng = random.Random(5)
-    texts = [words(rng, 40) for _ in range(12)]
-    for k in range(40):
-        w = rng.choice(texts).split()
-        w[rng.randrange(len(w))] = f"new{k}"
-        texts.append(" ".join(w))
-    texts += [texts[0], None, "  "]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+def brute_groups(texts):
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
             if brute_jaccard(texts[i], texts[j]) >= 0.8:
                 lo, hi = sorted((label[i], label[j]))
                 label = [lo if x == hi else x for x in label]
-    assert got == dict(enumerate(label))
-    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    return label
 
 
-def test_crowded_buckets_across_batches():
-    import pyarrow as pa
+def family(rng, n, size, edits):
+    """``n`` different texts, each a copy of one text with up to ``edits`` changed words."""
+    base, out = words(rng, size).split(), []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(size)] = f"new{k}"
+        out.append(" ".join(w))
+    return out
 
-    class Frame:
-        def repartition(self, *_):
-            return self
 
-        sortWithinPartitions = repartition
+@pytest.mark.parametrize("hot", [4096, 3, 0])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, hot):
+    """The same groups whether buckets are searched in memory or in rounds."""
+    monkeypatch.setattr(minhash, "HOT", hot)
+    rng = random.Random(5)
+    texts = [words(rng, 40) for _ in range(12)]
+    texts += [t for k in range(12) for t in family(rng, 4, 40, 1)] + family(rng, 25, 60, 2)
+    texts += [texts[0], None, "  ", "a b", "A  b", "a b c"]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, k1 int").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == dict(enumerate(brute_groups(texts)))
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
 
-        def mapInArrow(self, run, _):
-            return run
 
-    run = minhash._crowded(Frame())
-    rng = random.Random(1)
-    for _ in range(50):
-        rows = sorted((rng.randint(0, 12), k) for k in range(rng.randint(0, 25)))
-        step = rng.randint(1, 6)
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + step]], pa.int64()) for c in range(2)], ["bucket", "id"]) for i in range(0, len(rows), step)]
-        got = [(r["bucket"], r["id"]) for b in run(iter(batches)) for r in b.to_pylist()]
-        assert got == [r for r in rows if sum(x[0] == r[0] for x in rows) > 1]
+def test_bucket_search_connects_what_is_similar():
+    rng = random.Random(8)
+    for _ in range(30):
+        texts = [t for _ in range(rng.randint(1, 3)) for t in family(rng, rng.randint(1, 12), rng.randint(5, 50), rng.randint(0, 4))]
+        texts = list(dict.fromkeys(texts))
+        want = brute_groups(texts)
+        found = minhash.bucket_links(np.arange(len(texts)), [np.unique(minhash.shingles(t)) for t in texts], 0.8)
+        assert len(found) == len(texts) - len(set(want))  # a spanning tree of each group
+        label = list(range(len(texts)))
+        for i, j in found:
+            lo, hi = sorted((label[i], label[j]))
+            label = [lo if x == hi else x for x in label]
+        assert label == want
+
+
+def test_bands_reach_the_recall():
+    for similar, recall in ((0.8, 0.99), (0.8, 0.9), (0.5, 0.95)):
+        bands, width = minhash.banding(similar=similar, recall=recall)
+        assert bands * width <= minhash.SLOTS and 1 - (1 - similar**width) ** bands >= recall
+    rng = random.Random(3)
+    bands, width = minhash.banding()
+    met = near = 0
+    for _ in range(40):
+        family_ = family(rng, 8, 60, 2)
+        sig = minhash.signatures(family_)
+        for i in range(8):
+            for j in range(i):
+                if brute_jaccard(family_[i], family_[j]) >= 0.8 and family_[i] != family_[j]:
+                    near += 1
+                    met += any((sig[i, k * width : (k + 1) * width] == sig[j, k * width : (k + 1) * width]).all() for k in range(bands))
+    assert near > 100 and met >= 0.97 * near
+
+
+def test_long_texts_hash_alike_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["Äö", "word", "x" * rng.randint(1, 90), "\t\n", "A"]) for _ in range(5000))
+    whole = minhash.shingles(text)
+    monkeypatch.setattr(minhash, "PIECE", 64)
+    assert (minhash.shingles(text) == whole).all() and (minhash.shingles(text.swapcase().replace("äÖ", "Äö")) == whole).all()
 
 
 def test_signatures_of_many_texts():

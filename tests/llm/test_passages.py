@@ -21,7 +21,9 @@ def test_passages_go_wherever_the_lines_break(spark):
     for k in range(3, 24):
         p, kept = passages[k % 3], rows[k]["kept"].lower().split()
         left = [w for w in p if w in set(kept)]
-        assert len(left) < paragraphs.REACH * 2 and k % 3 in rows[k]["kept_in"], (k, len(left))
+        # A line of it may be kept in a later document than the whole, which then loses it to the first.
+        assert len(left) < paragraphs.REACH * 2 and any(d < k and d % 3 == k % 3 for d in rows[k]["kept_in"]), (k, len(left))
+        assert rows[k]["n_long"] >= paragraphs.UNIT or k % 4 == 0
         assert all(w in kept for w in docs[k][1].lower().split() if w not in p)
     for k in range(3):
         assert rows[k]["kept"] == docs[k][1] and not rows[k]["cut"]

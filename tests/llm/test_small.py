@@ -9,7 +9,7 @@ import zlib
 import pytest
 
 import brute
-from lattice.llm import language, lines, minhash, paragraphs, sharding
+from lattice.llm import language, lines, paragraphs, sharding
 from lattice.llm.queries import op4_language
 
 
@@ -74,11 +74,11 @@ def test_paragraphs_match_brute_force(spark):
         docs.append((k, "\n".join(parts)))
     docs += [(None, base[2]), (90, None), (91, "\n\n"), (92, base[3]), (92, base[3]), (92, base[3] + "\nshort")]
     listed = sorted({(2**63 - 1 if d is None else d, i, t or "") for d, t in docs for i in range(len((t or "").split("\n")))}, key=lambda x: (x[0], x[1]))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, line int, KEY string").repartition(5)
     got = {(r["doc_id"], r["kept"], tuple(r["removed"])) for r in paragraphs.deduplicate(df).collect()}
     # Of the rows that share doc_id 92 the order is by a hash of the text, so either may keep the paragraph.
-    cells = [(d, i, t.split("\n")[i], t) for d, i, t in listed if len(brute.spaced(t.split("\n")[i])) >= 20]
-    label = brute.groups(len(cells), lambda i, j: minhash.jaccard(cells[i][2], cells[j][2]) >= 0.8)
+    cells = [(d, i, t.split("\n")[i], t) for d, i, t in listed if len(brute.spaced(t.split("\n")[i])) >= 5]
+    label = brute.groups(len(cells), lambda i, j: brute.jaccard(cells[i][2], cells[j][2]) >= 0.8)
     first = {}
     for k, c in zip(label, cells, strict=True):
         first.setdefault(k, c)
