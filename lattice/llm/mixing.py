@@ -168,7 +168,7 @@ def _key() -> Column:
 
 def drawn(sized: DataFrame, cells: DataFrame) -> DataFrame:
     """Every row of ``sized`` (which may carry more columns) with source_size, target and its draws (epoch, shard)."""
-    cells = small(cells.withColumnRenamed("source", "of").withColumnRenamed("block", "in_block"), 160)
+    cells = small(cells.withColumnRenamed("source", "of").withColumnRenamed("block", "in_block"))
     in_part = F.col("part").isNotNull() & (F.col("full") | F.coalesce(_key() <= F.col("upto"), F.lit(False)))
     return (
         sized.join(cells, F.col("source").eqNullSafe(F.col("of")) & (_block(F.col("at")) == F.col("in_block")))
@@ -194,3 +194,12 @@ def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in ("shard", "epoch", "place")]
     place = md5_number(F.concat_ws("/", F.lit("row"), F.col("draw.shard"), F.col("draw.epoch"), F.col("at")))
     return taken.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("draw.epoch").alias("epoch"), F.col("draw.shard").alias("shard"), place.alias("place"))
+
+
+def shuffled(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``mixed``, each shard's rows together and in their order within the shard: a task gets stretches of ``place`` of any shard.
+
+    A shard's stretches are told apart by the leading ``BLOCK_BITS`` bits of the place, so a shard of any size is spread over tasks.
+    """
+    cell = F.shiftright("place", 60 - BLOCK_BITS)
+    return mixed(docs, shards).repartition("shard", cell).sortWithinPartitions("shard", "place")

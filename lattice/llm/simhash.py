@@ -12,7 +12,8 @@ is exact too and linear in their number.
 
 Defined cases: null or blank text has fingerprint zero, which links like any other; a null doc_id gets a row, and
 is only a component's id if no other is there; rows that repeat a doc_id each get a row; an empty table gives an
-empty result; further columns are ignored.
+empty result; a text of any length is hashed ``STEP`` shingles at a time; further columns are ignored by
+``near_duplicates`` and pass through ``deduplicated`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm._shared import written
+from lattice.llm._shared import discard, small, written
 from lattice.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -57,15 +58,16 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row."""
+    """(doc_id, key, fp) for each row; ``key`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def block_masks(n: int) -> list[int]:
@@ -163,18 +165,39 @@ def links(fps: DataFrame, masks: list[int] | None = None) -> DataFrame:
     return plain if hot.isEmpty() else plain.unionByName(_through_neighbours(hot))
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, fp, component_id, first): of each row; ``first`` is the place of the first row of its component."""
+    rows = written(fingerprints(docs), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(place).alias("first")), "nodes")
+    found = links(nodes.select("fp"))
+    reached = components(found).withColumnRenamed("id", "of")
+    rooted = nodes.join(reached, F.col("fp") == F.col("of"), "left").select("fp", "least", "first", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    ids = written(rooted.drop("first").join(least, "root").select(F.col("fp").alias("of"), "component_id", "first"), "components")
+    discard(nodes, reached)
+    return rows.join(ids, F.col("fp") == F.col("of")).select("doc_id", "key", "fp", "component_id", "first")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
-    rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    reached = components(links(nodes.select("fp"))).withColumnRenamed("id", "of")
-    rooted = nodes.join(reached, F.col("fp") == F.col("of"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = written(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "components")
-    return rows.join(ids, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    return _placed(docs).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without the documents of a group that aren't its first; a null doc_id stays."""
-    gone = written(near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("of")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() * 16 <= 32 << 20 else gone, F.col("doc_id") == F.col("of"), "left_anti")
+    """The rows of ``docs`` that are the first of their component: by doc_id (null last), then by a hash of the text.
+
+    Rows that share the doc_id but not the text are documents of their own; of rows that repeat both, one stays.
+    """
+    placed = written(_placed(docs).select("doc_id", "key", "first"), "placed")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    gone = written(placed.where(~is_first).select(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).distinct(), "gone")
+    repeated = written(placed.where(is_first).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).count().where("count > 1").drop("count"), "repeated")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    matched = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    kept = packed.join(small(gone), matched, "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(small(repeated), matched, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row", "id", "key")
+        kept = kept.join(small(repeated), matched, "left_anti").unionByName(once)
+    discard(placed)
+    return kept.select("row.*")

@@ -50,3 +50,27 @@ def test_draws_are_disjoint(spark):
     df = spark.createDataFrame([(k, "w " * (k % 9 + 1), "ab"[k % 5 == 0]) for k in range(300)], "doc_id long, text string, source string")
     rows = mixing.mixed(df, shards=5).collect()
     assert len({(r["doc_id"], r["epoch"]) for r in rows}) == len(rows) and {r["shard"] for r in rows} == set(range(5))
+
+
+def test_shards_follow_the_tree_and_are_shuffled(spark):
+    """What each shard holds of each source is what the tree gave it, and files hold stretches of one shard in the order of place."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join("w" * rng.randint(1, 60)), rng.choice(["a", "b", "c", None])) for k in range(900)], "doc_id long, text string, source string")
+    sized, cells = mixing.plan(docs, 8)
+    instances = cells.select("source", mixing.F.explode(mixing.F.concat("takes", mixing.F.filter(mixing.F.array("part"), lambda x: x.isNotNull()))).alias("x")).select("source", "x.shard")
+    by_source = {}
+    for r in instances.collect():
+        by_source.setdefault(r["source"], [0] * 8)[r["shard"]] += 1
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    want = mixing.split_quotas([sum(by_source[s]) for s in names], 8)
+    assert [by_source[s] for s in names] == want
+    totals = [sum(col) for col in zip(*want, strict=True)]
+    assert max(totals) - min(totals) <= 1
+    plain, out = mixing.mixed(docs, 8), mixing.shuffled(docs, 8)
+    key = lambda df: sorted((r["doc_id"], r["epoch"], r["shard"], r["place"]) for r in df.collect())
+    assert key(out) == key(plain)
+    rows = out.select(mixing.F.spark_partition_id().alias("p"), mixing.F.monotonically_increasing_id().alias("n"), "shard", "place", "doc_id").orderBy("n").collect()
+    for a, b in zip(rows, rows[1:], strict=False):
+        assert a["p"] != b["p"] or (a["shard"], a["place"]) <= (b["shard"], b["place"])
+    first = [r["doc_id"] for r in rows if r["shard"] == 0]
+    assert first != sorted(first)

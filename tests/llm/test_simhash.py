@@ -119,7 +119,7 @@ def test_documents(spark):
     least = {k: min(i for (i, _), x in zip(docs, label, strict=True) if x == k and i is not None) for k in set(label)}
     assert got == sorted(((i, least[k]) for (i, _), k in zip(docs, label, strict=True)), key=str)
     kept = sorted(str(r["doc_id"]) for r in simhash.deduplicated(df).collect())
-    assert kept == sorted(str(i) for (i, _), k in zip(docs, label, strict=True) if i is None or i == least[k])
+    assert kept == sorted(map(str, least.values()))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -128,3 +128,18 @@ def test_chain_components(spark):
     chain = spark.createDataFrame([(k + 1, k) for k in range(n)] + [(1000, k) for k in range(500, 600)], "u long, v long")
     got = {r["id"]: r["component"] for r in components(chain).collect()}
     assert all(got[k] == 0 for k in range(n + 1)) and all(got[k] == 500 for k in range(500, 600)) and got[1000] == 500
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "s"), (7, a, "t"), (7, b, "t"), (None, a, "u"), (None, c, "u"), (None, c, "v"), (9, c + " ", "w"), (3, b, "x"), (3, b, "x"), (3, b, "y"), (4, None, "z"), (5, "", "z"), (None, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of string").withColumn("key", simhash.F.lit(1)).repartition(4)
+    out = simhash.deduplicated(df)
+    assert out.columns == ["doc_id", "text", "of", "key"]
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    # Of rows that share doc_id and text one stays, of shared ids with other texts each is judged by its own.
+    assert got == sorted([(1, a), (3, b), (9, c + " "), (4, None)], key=str)
+    lone = spark.createDataFrame([(None, a), (None, b), (None, a)], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.deduplicated(lone).collect()) == sorted([a, b])
+    assert simhash.deduplicated(df.limit(0)).count() == 0
