@@ -7,6 +7,9 @@ diagonals with all of a window's rarest terms are kept.  The windows left are co
 document's tokens, which makes the phrase matches exact.  ``near_matches`` intersects the same lists for terms
 in any order within a span.
 
+Of the texts only those in a slot (of ``MARKS``) with a candidate are shuffled for that comparison.  The slots bound the broadcast, not
+the work: with many more candidate documents than slots, nearly all texts are.
+
 A window is ``WINDOW`` consecutive words of an item, or all of an item that has fewer.
 
 Defined cases: null text has no words; an item without words or without an item_id is ignored; rows that share
@@ -44,15 +47,16 @@ def test_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(item_id, first, words): the different windows of every item; rows of one item_id may have several at one ``first``."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("all"))
     items = items.where(F.size("all") > 0)
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - width, F.lit(0))))
-    return items.select("item_id", "all", starts.alias("first")).select("item_id", "first", F.slice("all", F.col("first") + 1, width).alias("words")).distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - width, F.lit(0)))
+    windows = items.select("item_id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice("all", s + 1, width).alias("words")))).alias("w"))
+    return windows.select("item_id", "w.first", "w.words").distinct()
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Stored postings (doc_id, text_key, pos, term); with a vocabulary (term), the lists of its terms only."""
     tokens = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("text_key"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
     if vocabulary is not None:
-        tokens = tokens.join(small(vocabulary.select("term").distinct(), 64), "term")
+        tokens = tokens.join(small(vocabulary.select("term").distinct()), "term")
     return written(tokens.select("doc_id", "text_key", "pos", "term"), "postings")
 
 
@@ -69,9 +73,9 @@ def candidates(index: DataFrame, windows: DataFrame, rarest: int = RAREST) -> Da
     """(doc_id, text_key, item_id, start, words): places where a window's rarest terms stand at the right distances."""
     windows = written(_rarest(index, windows, rarest), "windows")
     probes = windows.select("item_id", F.explode("probe").alias("p")).select("item_id", "p.at", "p.term").distinct()
-    met = index.join(small(probes, 96), "term").groupBy("doc_id", "text_key", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("met"))
+    met = index.join(small(probes), "term").groupBy("doc_id", "text_key", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("met"))
     asked = windows.select("item_id", "first", "words", F.transform("probe", lambda x: x["at"]).alias("ats"))
-    found = met.join(small(asked, 256), "item_id").where(F.size(F.array_except("ats", "met")) == 0)
+    found = met.join(small(asked), "item_id").where(F.size(F.array_except("ats", "met")) == 0)
     return found.select("doc_id", "text_key", "item_id", (F.col("diagonal") + F.col("first")).alias("start"), "words").where(F.col("start") >= 0)
 
 
@@ -116,20 +120,22 @@ def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
 
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, span: int = 2 * WINDOW, width: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, first, block): windows all of whose distinct terms fall within one stretch of ``span`` words.
+    """(doc_id, text_key, item_id, first, start): windows all of whose distinct terms stand within ``span`` words, in any order.
 
-    Positions are cut into stretches of ``span`` words that overlap by half, so no stretch of half the span is
-    missed, and postings meet on (document, stretch): the lists of the rarest term choose the stretches, and the
-    other lists are intersected with those.
+    ``start`` is the first such place.  Stretches of 2 * span words that overlap by half are the candidates, so each place lies in one of
+    them: the lists of the rarest term choose the stretches, the other lists are intersected with those, and the positions that are left
+    decide on the span itself.
     """
     windows = written(test_windows(benchmark, width), "near")
     index = build_index(docs, windows.select(F.explode("words").alias("term")))
     ranked = _rarest(index, windows, 1).select("item_id", "first", F.array_distinct("words").alias("words"), F.col("probe")[0]["term"].alias("rare")).distinct()
-    half = max(1, span // 2)
-    blocks = index.select("doc_id", "text_key", "term", F.explode(F.array(F.expr(f"pos div {half}"), F.expr(f"pos div {half} - 1"))).alias("block")).distinct()
-    seeds = blocks.join(small(ranked.select("item_id", "first", "words", F.col("rare").alias("term")), 256), "term").select("doc_id", "text_key", "block", "item_id", "first", "words")
+    blocks = index.select("doc_id", "text_key", "term", "pos", F.explode(F.array(F.expr(f"pos div {span}"), F.expr(f"pos div {span} - 1"))).alias("block"))
+    blocks = blocks.groupBy("doc_id", "text_key", "block", "term").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    seeds = blocks.join(small(ranked.select("item_id", "first", "words", F.col("rare").alias("term"))), "term").select("doc_id", "text_key", "block", "item_id", "first", "words")
     wanted = seeds.select("*", F.explode("words").alias("term"))
-    met = wanted.join(blocks, ["doc_id", "text_key", "block", "term"]).groupBy("doc_id", "text_key", "block", "item_id", "first", "words").count()
-    return met.where(F.col("count") == F.size("words")).select("doc_id", "item_id", "first", "block").distinct()
-
-
+    met = wanted.join(blocks, ["doc_id", "text_key", "block", "term"]).groupBy("doc_id", "text_key", "block", "item_id", "first", "words").agg(F.collect_list("at").alias("lists"))
+    met = met.where(F.size("lists") == F.size("words"))
+    # A place starts at some term's position p, and each list has a position in [p, p + span).
+    starts = F.filter(F.array_sort(F.array_distinct(F.flatten("lists"))), lambda p: F.forall("lists", lambda at: F.exists(at, lambda x: (x >= p) & (x < p + span))))
+    placed = met.select("doc_id", "text_key", "item_id", "first", F.try_element_at(starts, F.lit(1)).alias("start")).where(F.col("start").isNotNull())
+    return placed.groupBy("doc_id", "text_key", "item_id", "first").agg(F.min("start").alias("start"))
