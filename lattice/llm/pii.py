@@ -10,7 +10,8 @@ whose features come from the same expressions; fitted trees become SQL CASE expr
 shuffle, and nothing outside the JVM.
 
 Defined cases: null text is empty and has no spans; offsets count code points, the end is exclusive; rows that repeat each
-get a row; an empty table gives an empty result; further columns are ignored.
+get a row; an empty table gives an empty result; a very long text is searched whole (what a candidate overlaps is found by comparing
+it with the text's other candidates); further columns pass through, but for ``base`` and ``spans``, which are replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "number": r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?(?:[\x20./-]\(?[0-9]{2,5}\)?){2,4}(?![0-9A-Za-z])",
     "address": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[a-z0-9-]{1,64}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[a-z0-9-]{1,64}){1,4}",
-    "secret": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i)(?<![a-z])(?:password|passwd|secret|token|api_?key)[\"']?\x20?[=:]\x20?[\"']?[a-z0-9_/+-]{8,128}",
+    "secret": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i)(?<![a-z])(?:password|passwd|secret|token|api_?key)[\"']?\x20?[=:]\x20?[\"']?[a-z0-9_/+-]{8,}+",
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Cheap tests that a text with a match passes.
@@ -137,9 +138,10 @@ def _described(c: Column, digits: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with base (spans that pass) and others (candidates for the model, with features in f)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    proposed = docs.withColumn("found", F.concat(*[_found(text, k) for k in range(len(KINDS))]))
+    """(row, base, others): the columns of ``docs``, the spans that pass, and the candidates for the model, with features in f."""
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    proposed = packed.select("row", F.concat(*[_found(text, k) for k in range(len(KINDS))]).alias("found"))
     checked = proposed.withColumn("found", F.transform("found", lambda c: F.struct(c.alias("c"), _valid(c).alias("valid"))))
     base = F.transform(F.filter("found", lambda x: x["valid"]), lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["kind"].alias("kind"), x["c"]["end"].alias("end")))
     rest = F.transform(F.filter("found", lambda x: ~x["valid"]), lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["kind"].alias("kind"), x["c"]["end"].alias("end"), _features(x["c"]).alias("f")))
@@ -169,11 +171,12 @@ def examples() -> list[tuple[str, int]]:
         lambda: f"{w()} {rng.choice(['password', 'token', 'api_key', 'secret'])}{rng.choice(['=', ': ', ' = '])}{rng.choice(['', chr(34)])}{''.join(rng.choice('0123456789abcdef') for _ in range(rng.randint(12, 40)))}",
         lambda: f"{w()} AKIA{''.join(rng.choice('ABCDEFGHJKLMNPQRSTUVWXYZ234567') for _ in range(16))} {w()}",
         lambda: f"{rng.choice(['card', 'visa', 'account number'])} {spaced(d(16))}",
+        lambda: f"{w()} {d(16)}{rng.choice(['', '.', ',', '!!'])} {w()}",  # a run of sixteen figures in prose: an account, if not a card
         lambda: f"{rng.choice(['call', 'dial', 'tel'])} +{d(2)} {d(2)} {d(3)}",
     ]
     other: list[Callable[[], str]] = [
         lambda: f"{rng.choice(['order', 'invoice', 'isbn', 'item', 'sku'])} {rng.choice(['no.', 'number', ''])} {spaced(d(16))}",
-        lambda: f"{w()} {spaced(d(rng.choice([12, 13, 14, 16, 18])))} {w()}",
+        lambda: f"{w()} {spaced(d(rng.choice([12, 13, 14, 18, 20])))} {w()}",
         lambda: f"{rng.choice(['version', 'release', 'section', w()])} {rng.randint(256, 999)}.{d(2)}.{d(2)}.{d(1)}",
         lambda: f"{rng.choice(['date', 'since', w(), w()])} {rng.randint(10, 31)}{(s := rng.choice('./-'))}{rng.randint(10, 12)}{s}{rng.randint(1900, 2030)}",
         lambda: f"{rng.choice(['date', w()])} {rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 31)}",
@@ -250,7 +253,7 @@ def train(spark: SparkSession) -> tuple[list[Tree], list[float]]:
     """Trees and thresholds by kind."""
     made = examples()
     told = ",".join(f"({k}, '{t.replace(chr(39), chr(39) * 2)}', {y})" for k, (t, y) in enumerate(made))
-    seen = candidates(spark.sql(f"SELECT * FROM VALUES {told} AS v(n, text, label)")).select("n", "label", F.explode("others").alias("o")).select("n", "label", "o.f.*").orderBy("n", *FEATURES).collect()
+    seen = candidates(spark.sql(f"SELECT * FROM VALUES {told} AS v(n, text, label)")).select("row.n", "row.label", F.explode("others").alias("o")).select("n", "label", "o.f.*").orderBy("n", *FEATURES).collect()
     x, y = np.array([[r[k] for k in FEATURES] for r in seen], int), np.array([r["label"] for r in seen], float)
     held = np.array([r["n"] * 7919 % 1009 % 3 == 0 for r in seen])
     trees = boost(x[~held], y[~held])
@@ -283,7 +286,8 @@ def find(docs: DataFrame) -> DataFrame:
         return F.array_sort(F.concat(v["base"], F.transform(best, span)))
 
     scored = F.expr(f"transform(others, c -> struct(c.start AS start, c.kind AS kind, c.`end` AS `end`, {score_sql(trees, 'c.f')} AS score))")
-    return candidates(docs).withColumn("spans", _let(F.struct("base", scored.alias("scored")), select)).drop("others")
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("base", "spans")]
+    return candidates(docs).select(*kept, "base", _let(F.struct("base", scored.alias("scored")), select).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:

@@ -47,8 +47,10 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def found(spark):
-    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, base string")
-    return {r["doc_id"]: r for r in pii.find(df.drop("base")).select("doc_id", pii.as_text(pii.F.col("base")).alias("base"), pii.as_text(pii.F.col("spans")).alias("spans")).collect()}
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, base string").withColumn("found", pii.F.lit(7)).withColumn("row", pii.F.lit("r"))
+    out = pii.find(df)
+    assert out.columns == ["doc_id", "text", "found", "row", "base", "spans"] and out.where("found = 7 AND row = 'r'").count() == len(TEXTS)
+    return {r["doc_id"]: r for r in out.select("doc_id", pii.as_text(pii.F.col("base")).alias("base"), pii.as_text(pii.F.col("spans")).alias("spans")).collect()}
 
 
 def test_base_spans_match_the_rules(found):
