@@ -10,7 +10,7 @@ consecutive positions mostly share theirs (a run).  Names bring equal strings to
    (suffixes.py).  In each class of equal prefixes the least doc_id keeps its bytes.
 4. The covered bytes return to their rows.
 
-Only buckets of bounded expected size are in memory, a name or a run that a third of all rows share is combined in each task
+Only buckets of bounded expected size are in memory, as their number follows the bytes of the input; a name or a run that a third of all rows share is combined in each task
 before it is sent, and the steps are written tables, so lost executors cost a step's missing tasks.
 
 Defined cases: null text is empty; a text below LENGTH bytes keeps all; a null doc_id counts as the largest; rows of one doc_id
@@ -30,13 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm._shared import buckets, release, written
+from lattice.llm._shared import buckets, written
 from lattice.llm.suffixes import DEPTH as LENGTH
 from lattice.llm.suffixes import equal_prefixes
 
 GRAM = 20
 #: Bytes of text after which a task sends what it has gathered.
 UNIT = 24 << 20
+#: Bytes of text for each bucket at most, on average; a task holds one bucket at a time.
+BUCKET_BYTES = 16 << 20
 NO_ID = 2**63 - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -142,8 +144,10 @@ def _ask(n: int):
         _split(out, 1, homes[several], ords[several], keys[several], number[several])
         once = np.flatnonzero(~several)
         again = np.flatnonzero(several)
-        if len(again):
-            again = again[np.unique(names[again], return_index=True)[1]]
+        if len(again):  # the least and the greatest ord of each name are enough to tell others
+            order = again[np.lexsort((ords[again], names[again]))]
+            new = names[order][1:] != names[order][:-1]
+            again = np.unique(np.r_[order[np.r_[True, new]], order[np.r_[new, True]]])
         sent = np.sort(np.r_[once, again])
         _split(out, 0, _bucket(names[sent], n), names[sent].astype(np.uint32), ords[sent], keys[sent], homes[sent].astype(np.int32), number[sent].astype(np.int32))
 
@@ -345,10 +349,10 @@ def _strip(with_text: bool):
 def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept, the bytes that stay, only ``with_text``."""
     spark = docs.sparkSession
-    n = buckets(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = max(buckets(spark), size // BUCKET_BYTES)
     rows = _rows(docs, n)
     told = written(rows.mapInArrow(_ask(n), BLOBS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tell, BLOBS), "told")
-    release(spark)
 
     def with_texts(blobs: DataFrame) -> DataFrame:
         none = F.lit(None).cast("long")
@@ -357,6 +361,5 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     shipped = with_texts(told).mapInArrow(_ship(n), BLOBS)
     cuts = written(shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort, BLOBS), "cuts")
-    release(spark)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return with_texts(cuts).mapInArrow(_strip(with_text), schema)

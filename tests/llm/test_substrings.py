@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattice.llm import substrings, suffixes
@@ -24,12 +25,27 @@ def test_equal_prefixes(monkeypatch, bucket):
         at, group = suffixes.equal_prefixes(text, starts)
         assert sorted(at.tolist()) == starts.tolist()
         pieces = [text[i : i + 50] for i in at.tolist()]
-        assert pieces == sorted(pieces) or bucket == 50
+        assert pieces == sorted(pieces)
         for k in range(1, len(pieces)):
             assert (group[k] == group[k - 1]) == (pieces[k] == pieces[k - 1])
         assert len(set(pieces)) == group[-1] + 1
 
 
+def test_a_unit_sends_both_ends_of_a_name():
+    """Of a name that repeats in a unit the least and the greatest ord go out, so a row elsewhere with either of them is told."""
+    text = bytes(random.Random(5).randrange(256) for _ in range(300))
+    rows = [(0, 9, 1, text), (1, 3, 2, text), (2, substrings.NO_ID, 3, text), (3, 5, 4, text)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "ord", "key", "body"])
+    seen = {}
+    for out in substrings._ask(4)(iter([batch])):
+        for r in out.to_pylist():
+            if r["kind"] == 0:
+                names, ords, *_ = substrings._unpack(r["body"])
+                for n, o in zip(names.tolist(), ords.tolist(), strict=True):
+                    seen.setdefault(n, set()).add(o)
+    assert seen and all(v == {3, substrings.NO_ID} for v in seen.values())
+
+
 def brute(docs):
     """Rows (doc_id, text) to the results of the contract."""
     least = {}
@@ -63,8 +79,10 @@ def texts(rng, n):
 @pytest.mark.parametrize("seed,unit", [(1, 24 << 20), (2, 500)])
 def test_matches_brute_force(spark, monkeypatch, seed, unit):
     monkeypatch.setattr(substrings, "UNIT", unit)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1 << 24 if seed == 1 else 512)
     rng = random.Random(seed)
     body = texts(rng, 60)
+    body.append(" ".join(body[:8]) * 40)  # a long text
     docs = [(rng.randint(0, 200), t) for t in body] + [(None, body[3]), (None, None), (7, None), (8, ""), (500, body[4]), (500, body[4]), (500, body[5] + body[4]), (-3, body[6])]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, key string").repartition(6)
     got = sorted((tuple(r)[:5] for r in substrings.deduplicate(df).collect()), key=str)
