@@ -135,6 +135,28 @@ def composites(devices: DataFrame) -> DataFrame:
     return parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("enum_order", "device_id"))), lambda x: x["device_id"]).alias("component_ids"))
 
 
+def device_property(properties: DataFrame, name: str) -> DataFrame:
+    """(device_id, value) of a property: scalar, or a list for sizes by dimension and for sub-groups."""
+    if name not in properties.columns or name == "device_id":
+        raise AttributeError(f"unknown property {name!r}")
+    return properties.select("device_id", F.col(name).alias("value"))
+
+
+def max_work_items(properties: DataFrame, dims: int) -> DataFrame:
+    """(device_id, sizes, total): the largest range of ``dims`` dimensions that a work-group can have."""
+    if dims not in (1, 2, 3):
+        raise ValueError("a range has one to three dimensions")
+    sizes = F.slice("max_work_item_sizes", 1, dims)
+    total = F.least(F.aggregate(sizes, F.lit(1).cast("bigint"), lambda a, x: a * x), F.col("max_work_group_size").cast("bigint"))
+    return properties.select("device_id", sizes.alias("sizes"), total.alias("total"))
+
+
+def fitting(devices: DataFrame, properties: DataFrame, local_bytes: int, group: int) -> DataFrame:
+    """The listed devices on which a kernel with so much local memory and such a work-group runs, the best first."""
+    able = properties.where((F.col("local_mem_size") >= local_bytes) & (F.col("max_work_group_size") >= group)).select("device_id")
+    return devices.where("score >= 0").join(able, "device_id", "left_semi").orderBy(F.col("score").desc(), "enum_order")
+
+
 def has_aspect(devices: DataFrame, aspect: str) -> DataFrame:
     """(device_id, has)."""
     return devices.select("device_id", F.array_contains("aspects", aspect).alias("has"))

@@ -21,6 +21,12 @@ DEVICES = [
     (13, 3, None, "level_zero", "gpu", 3, 550, 24, ["gpu", "fp16", "fp64"]), (14, 4, None, "cuda", "gpu", 4, 550, 80, ["gpu", "fp64"]), (15, 4, None, "cuda", "gpu", 5, -1, 80, ["gpu", "fp64"]),
     (16, 3, 13, "level_zero", "gpu", 6, 100, 12, ["gpu"]), (17, 3, 16, "level_zero", "gpu", 7, 90, 6, ["gpu"]),
 ]
+#: device_id, max_work_group_size, max_work_item_sizes, sub_group_sizes, global_mem_size, local_mem_size, max_clock_frequency, native_vector_width_float, driver_version
+PROPERTIES = [
+    (10, 1, [1, 1, 1], [], 1073741824, 0, 100, 1, "1.0"), (11, 8192, [8192, 8192, 8192], [4, 8, 16], 34359738368, 32768, 3600, 8, "2.1"), (12, 256, [256, 256, 256], [8, 16, 32], 4294967296, 65536, 1200, 1, "3.2"),
+    (13, 512, [512, 512, 512], [8, 16, 32], 8589934592, 65536, 1500, 1, "3.3"), (14, 1024, [1024, 1024, 64], [32], 17179869184, 49152, 1700, 1, "5.0"), (15, 1024, [1024, 1024, 64], [32], 17179869184, 49152, 1700, 1, "5.0"),
+    (16, 512, [512, 512, 512], [8, 16, 32], 8589934592, 65536, 1500, 1, "3.3"), (17, 512, [512, 512, 512], [8, 16, 32], 8589934592, 65536, 1500, 1, "3.3"),
+]
 #: event_id, depends_on, start_ns, end_ns: a chain of copy, +1, sqrt and sin, and one apart.
 TASKS = [(1, [], 1000, 5000), (2, [1], 5200, 9000), (3, [2], 9100, 9900), (4, [3, 1], 10000, 17500), (5, [], 1500, 2500)]
 MATRIX = [[4.0, 1.0, 0.0, 0.5, 0.0], [1.0, 5.0, 1.0, 0.0, 0.25], [0.0, 1.0, 6.0, 1.0, 0.0], [0.5, 0.0, 1.0, 7.0, 1.0], [0.0, 0.25, 0.0, 1.0, 8.0]]
@@ -52,6 +58,17 @@ def devices_sql() -> str:
     return _values(DEVICES, D_NAMES).replace("array(", "list_value(")
 
 
+R_NAMES = "device_id, max_work_group_size, max_work_item_sizes, sub_group_sizes, global_mem_size, local_mem_size, max_clock_frequency, native_vector_width_float, driver_version"
+
+
+def properties(spark: SparkSession) -> DataFrame:
+    return spark.sql(_values(PROPERTIES, R_NAMES, "CAST(array() AS array<int>)"))
+
+
+def properties_sql() -> str:
+    return _values(PROPERTIES, R_NAMES, "CAST([] AS INT[])").replace("array(", "list_value(")
+
+
 def platforms(spark: SparkSession) -> DataFrame:
     return spark.sql(_values(PLATFORMS, P_NAMES))
 

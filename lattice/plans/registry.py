@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattice.functions.dtypes import multiply, wide, wrap
 from lattice.operators import catalog, kernels, linalg, memory, spirv, transfer
-from lattice.plans.fixtures import RANK, devices, devices_sql, modules, modules_sql, platforms, platforms_sql, rank_system, spd_system, tasks, tasks_sql
+from lattice.plans.fixtures import RANK, devices, devices_sql, modules, modules_sql, platforms, platforms_sql, properties, properties_sql, rank_system, spd_system, tasks, tasks_sql
 from lattice.plans.scheduler import device_seconds, event_edges
 from lattice.sources import read_table
 
@@ -360,3 +360,18 @@ def device_copy(spark, d):
     small, large, _ = _allocations(spark)
     seven = memory.Allocation(transfer.memset(small.vector, 7, 0, 16), small.kind, 16, "u1", small.device, small.context)
     return memory.copy_from_device(large, seven).vector
+
+
+@query(f"SELECT device_id, max_work_item_sizes[1:2] AS sizes, least(max_work_item_sizes[1]::BIGINT * max_work_item_sizes[2], max_work_group_size) AS total FROM ({properties_sql()})")
+def work_item_limits(spark, d):
+    return catalog.max_work_items(properties(spark), 2)
+
+
+@query(f"SELECT device_id, global_mem_size AS value FROM ({properties_sql()})")
+def device_memory(spark, d):
+    return catalog.device_property(properties(spark), "global_mem_size")
+
+
+@query(f"SELECT device_id FROM ({devices_sql()}) JOIN ({properties_sql()}) USING (device_id) WHERE score >= 0 AND local_mem_size >= 49152 AND max_work_group_size >= 512")
+def fitting_devices(spark, d):
+    return catalog.fitting(devices(spark), properties(spark), 49152, 512).select("device_id")

@@ -372,3 +372,15 @@ def test_listing(spark, capsys):
     assert "platform f" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["-s", "-l"])
+
+
+def test_device_properties(spark):
+    p, d = fixtures.properties(spark), fixtures.devices(spark)
+    assert {r["device_id"]: r["value"] for r in catalog.device_property(p, "sub_group_sizes").collect()}[14] == [32]
+    assert {r["device_id"]: (r["sizes"], r["total"]) for r in catalog.max_work_items(p, 3).collect()}[14] == ([1024, 1024, 64], 1024)
+    assert catalog.fitting(d, p, 65536, 512).first()["device_id"] == 13
+    for bad in ("device_id", "speed"):
+        with pytest.raises(AttributeError):
+            catalog.device_property(p, bad)
+    with pytest.raises(ValueError):
+        catalog.max_work_items(p, 4)
