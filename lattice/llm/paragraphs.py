@@ -45,8 +45,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _repeated_lines(rows: DataFrame) -> DataFrame:
-    """(of, of_key, removed, long, kept_in): line numbers that go from each document, the words of those of UNIT words or more, and the
-    doc_ids that keep them."""
+    """(of, of_key, removed, long, kept_in): line numbers that go from each document, the words in stretches of such lines with UNIT words
+    or more, and the doc_ids that keep them."""
     flat = rows.select("doc_id", "key", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
     lines = flat.select("doc_id", "key", "line", "text", *minhash.keyed(F.col("text")), F.regexp_count("text", F.lit(SPACED_WORD)).alias("words")).where(F.col("text").rlike(PARAGRAPH))
     grouped = minhash.cluster(lines.select("k1", "k2", "text"))
@@ -60,7 +60,15 @@ def _repeated_lines(rows: DataFrame) -> DataFrame:
     by_doc = gone.groupBy(F.col("ord").alias("of"), F.col("key").alias("of_key")).agg(
         F.sort_array(F.collect_set(F.struct("line", "words"))).alias("gone"), F.sort_array(F.collect_set(F.nullif("first.ord", F.lit(NO_ID)))).alias("kept_in")
     )
-    long = F.aggregate(F.filter("gone", lambda x: x["words"] >= UNIT), F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    zero = F.struct(F.lit(-9).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("long"))
+    whole = lambda a: F.when(a["run"] >= UNIT, a["run"]).otherwise(F.lit(0))
+
+    def joined(a: Column, x: Column) -> Column:
+        """The next line goes on with the stretch if it is the next but one at most, as a blank line may stand between paragraphs."""
+        on = x["line"] <= a["last"] + 2
+        return F.struct(x["line"].alias("last"), F.when(on, a["run"] + x["words"]).otherwise(x["words"]).cast("long").alias("run"), F.when(on, a["long"]).otherwise(a["long"] + whole(a)).cast("long").alias("long"))
+
+    long = F.aggregate("gone", zero, joined, lambda a: a["long"] + whole(a))
     out = written(by_doc.select("of", "of_key", F.transform("gone", lambda x: x["line"]).alias("removed"), long.alias("long"), "kept_in"), "gone")
     discard(placed, first, grouped)
     return out
@@ -166,7 +174,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_lines, removed (line numbers), n_long, kept_in (doc_ids that keep what goes), cut, kept (text).
 
     ``cut`` has the stretches (first, n) of words that go from what is left without the removed lines; ``n_long`` counts the words that
-    go in lines or stretches of UNIT words or more.
+    go in stretches of UNIT words or more, of whole lines or of words.
     """
     left = _without_lines(docs)
     passages = _passages(left)
