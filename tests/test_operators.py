@@ -298,7 +298,7 @@ def test_arguments_reach_the_kernel(spark):
     assert (value["z"]["real"], value["z"]["imag"], bytes(value["b"])) == (1.0, 2.0, b"ab")
     with pytest.raises(ValueError):
         kernels.SpecConstant(0, b"")
-    assert kernels.Bundle.can_compile("column") and not kernels.Bundle.can_compile("sycl")
+    assert kernels.Bundle.can_compile("column") and not kernels.Bundle.can_compile("opencl")
     with pytest.raises(ValueError):
         linalg.reduced(F.lit(1), 0)
     with pytest.raises(ValueError):
